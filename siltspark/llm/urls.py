@@ -59,8 +59,11 @@ def url_key(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(url_host(url), F.when(url_path(url) == "", "/").otherwise(url_path(url)), query))
 
 
-def alias_edges(pages: DataFrame) -> DataFrame:
-    """``a, b``: URL keys that a canonical link or a meta refresh in ``html`` makes equivalent."""
+def alias_edges(pages: DataFrame, folder: str) -> DataFrame:
+    """``a, b``: URL keys that a canonical link or a meta refresh in ``html`` makes equivalent.
+
+    The link targets are written to folder; else their expressions would be copied into every later filter.
+    """
     has = F.col("html").rlike("(?i)canonical|refresh")
     tags = F.concat(F.regexp_extract_all("html", F.lit(_LINK), F.lit(0)), F.regexp_extract_all("html", F.lit(_REFRESH), F.lit(0)))
     tag = pages.where(has & F.col("url").contains("://")).select("url", F.explode(tags).alias("tag"))
@@ -69,7 +72,7 @@ def alias_edges(pages: DataFrame) -> DataFrame:
         F.nullif(F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1), F.lit("")),
     )
     scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    links = tag.select("url", target.alias("target")).where("target is not null")
+    links = saved(tag.select("url", target.alias("target")).distinct(), folder, "targets")
     links = links.select("url", absolute_url(F.col("target"), url_host(F.col("url")), scheme).alias("to")).distinct()
     return links.select(url_key(F.col("url")).alias("a"), url_key(F.col("to")).alias("b")).where("b is not null and a <> b").distinct()
 
@@ -81,10 +84,10 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tup
     component has a blocked member, page or mere target, and no allowed one; else allowed.  A null
     url, or one without ://, has an empty host and path and no aliases.  Repeated rows are judged alike.
     """
-    edges = alias_edges(pages)
+    folder = work_dir(pages.sparkSession)
+    edges = alias_edges(pages, folder)
     if redirects is not None:
         edges = edges.union(redirects.select(url_key(F.col("source")), url_key(F.col("target")))).where("a is not null and b is not null and a <> b").distinct()
-    folder = work_dir(pages.sparkSession)
     edges = saved(edges.select("a", "b", F.xxhash64("a").alias("u"), F.xxhash64("b").alias("v")), folder, "edges")
     judged = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col("url")), "path": url_path(F.col("url"))})
     judged = judged.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).withColumns({"rule": F.col("_r.rule"), "_own": F.col("_r.action")}).drop("_r")
