@@ -18,15 +18,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.llm.common import crc_mod, saved, table, work_dir
-from siltspark.llm.words import hash_words, mix64
+from siltspark.llm.words import hash_words, mix64, packed, unpacked
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 9 << 20
 #: The chance that a bigram shares its key with another one is about 2 to the power of minus this.
 SPARE_BITS = 20
 _END, _BEGIN = np.uint64(0xA5A5F00D), np.uint64(0x5EED5EED)
@@ -34,17 +33,6 @@ _NONE = -1000  # log2 of a share of 0
 _U = np.uint64
 
 
-def _packed(a: np.ndarray) -> bytes:
-    """An integer array byte plane by byte plane, compressed."""
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _unpacked(b: bytes, kind: type, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, n)
-    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
-
-
 class Chunk:
     """The tokens of some texts, their distinct n-grams, and where each token's n-grams are among them."""
 
@@ -120,7 +108,7 @@ def _requests(key_bits: int, ranges: int):
                 edges = np.searchsorted(top, np.arange(ranges + 1, dtype=np.uint64))
                 for r in np.flatnonzero(np.diff(edges)):
                     k, n = keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]]
-                    out.append((int(r), chunk, fold, kind, len(k), _packed(np.diff(k, prepend=_U(0))), _packed(n)))
+                    out.append((int(r), chunk, fold, kind, len(k), packed(np.diff(k, prepend=_U(0))), packed(n)))
             for lo in range(0, len(out), 256):
                 yield pa.RecordBatch.from_pylist([dict(zip(("range", "chunk", "fold", "kind", "n", "keys", "counts"), x)) for x in out[lo : lo + 256]], _REQUEST)
 
@@ -137,14 +125,14 @@ def _answers(t: pa.Table) -> pa.Table:
         asked = [x for x in t.to_pylist() if x["kind"] == kind]
         if not asked:
             continue
-        keys = np.concatenate([np.cumsum(_unpacked(x["keys"], np.uint64, x["n"]), dtype=np.uint64) for x in asked])
-        counts = np.concatenate([_unpacked(x["counts"], np.uint32, x["n"]) for x in asked])
+        keys = np.concatenate([np.cumsum(unpacked(x["keys"], np.uint64, x["n"]), dtype=np.uint64) for x in asked])
+        counts = np.concatenate([unpacked(x["counts"], np.uint32, x["n"]) for x in asked])
         distinct, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.uint32)
         lo = 0
         for k, x in enumerate(asked):
             sums = (int((total > 0).sum()), int(total.sum())) if k == 0 and kind == 0 else (0, 0)
-            out.append((x["chunk"], x["fold"], x["range"], kind, x["n"], _packed(total[at[lo : lo + x["n"]]]), *sums))
+            out.append((x["chunk"], x["fold"], x["range"], kind, x["n"], packed(total[at[lo : lo + x["n"]]]), *sums))
             lo += x["n"]
     return pa.Table.from_pylist([dict(zip(_ANSWER.names, x)) for x in out], _ANSWER)
 
@@ -171,7 +159,7 @@ def _with_counts(texts: pa.Table, answers: pa.Table, key_bits: int) -> Iterator[
         rows = pa.ipc.open_stream(blob).read_all()
         c = Chunk(rows.column("text"), key_bits)
         got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["range"]))
-        counts = [np.concatenate([np.zeros(0, np.uint32)] + [_unpacked(x["counts"], np.uint32, x["n"]) for x in got if x["kind"] == kind]).astype(np.int64) for kind in (0, 1)]
+        counts = [np.concatenate([np.zeros(0, np.uint32)] + [unpacked(x["counts"], np.uint32, x["n"]) for x in got if x["kind"] == kind]).astype(np.int64) for kind in (0, 1)]
         if (len(counts[0]), len(counts[1])) != (len(c.words), len(c.pairs)):
             raise ValueError("a chunk of documents was cut in another way than before")
         yield rows, c, counts

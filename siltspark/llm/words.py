@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 _U = np.uint64
 _BYTE_LOWER = np.arange(256, dtype=np.uint8)
@@ -117,3 +118,14 @@ def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     parts = [np.unique(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     return np.concatenate(parts) if parts else values[:0], np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def packed(a: np.ndarray) -> bytes:
+    """An integer array byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(b: bytes, kind: type, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(np.dtype(kind).itemsize, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
