@@ -4,8 +4,9 @@ Both dictionaries share a base trained on ordinary text; one goes on with ordina
 with toxic text, picked by how much more often its character 5-grams occur in toxic documents.  A
 window is a word of the text, three times over behind a carrier that either dictionary holds, so
 that its compressed length is that of the word alone.  A document's windows give a histogram of
-"ordinary length minus toxic length"; a logistic model, fitted out of fold, calibrates it to a
-score.  Dictionaries and calibration come from a bounded sample of labelled rows (``per_label``).
+"ordinary length minus toxic length"; a logistic model, fitted on labelled
+texts that the dictionaries were not trained on, calibrates it to a score; of two such halves the better is
+kept.  Dictionaries and calibration come from a bounded sample of labelled rows (``per_label``).
 """
 
 from __future__ import annotations
@@ -131,14 +132,17 @@ class Model:
         self.distance = None
         if len(toxic) < 4 or len(ordinary) < 4:
             return
-        x, y = [], []
+        best = np.inf
         for fold in (0, 1):
+            # a dictionary is only used with the calibration that was made for it, on texts it wasn't trained on
             d = train(toxic[fold::2], ordinary[fold::2])
-            for texts, label in ((toxic[1 - fold :: 2], 1.0), (ordinary[1 - fold :: 2], 0.0)):
-                x.append(features(d, texts))
-                y.append(np.full(len(texts), label))
-        self.weights, self.bias = fit_logistic(np.vstack(x), np.concatenate(y))
-        self.distance = train(toxic, ordinary)
+            held = (toxic[1 - fold :: 2], ordinary[1 - fold :: 2])
+            x, y = np.vstack([features(d, t) for t in held]), np.repeat([1.0, 0.0], [len(t) for t in held])
+            weights, bias = fit_logistic(x, y)
+            p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
+            loss = -float(np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
+            if loss < best:
+                best, self.weights, self.bias, self.distance = loss, weights, bias, d
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.distance is None:
