@@ -176,11 +176,18 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_batches(plain, run, plain.withColumn("score", F.lit(0.0)).schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``key, text, toxic`` of the labelled documents whose crc32(doc_id) mod 3 is not 1."""
-    labels = labels.select("doc_id", "toxic").where("toxic is not null and doc_id is not null").distinct()
-    rows = docs.select("doc_id", "text").where(crc_mod("doc_id", 3) != 1).join(labels, "doc_id")
-    return rows.select(row_key("doc_id", "text").alias("key"), "text", "toxic")
+def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> DataFrame:
+    """``key, text, toxic`` of the sample of labelled documents; none whose crc32(doc_id) mod 3 is 1.
+
+    The sample is chosen by keys alone; the texts of its rows, 2 * per_label keys at most, are then
+    picked in a scan, so that no other text is shuffled.
+    """
+    labels = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").distinct()
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").where((crc_mod("doc_id", 3) != 1) & F.col("text").isNotNull())
+    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
+    ids = keyed.select("doc_id", "key").join(labels, "doc_id").select("key", "toxic").distinct().withColumn("r", rank)
+    picked = ids.where(F.col("r") <= per_label).select("key", "toxic")
+    return keyed.select("key", "text").join(F.broadcast(picked), "key")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
