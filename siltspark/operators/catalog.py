@@ -142,3 +142,16 @@ def compliance(manifests: DataFrame, least: float, identities: list[str], requir
         F.when(F.size(F.array_except(F.array(*map(F.lit, required)), "attestations")) > 0, "MISSING_CERTIFICATION"),
     ))
     return m.select("manifest_id", F.array_join(found, ",").alias("violations"), (F.size(found) == 0).alias("compliant"), F.when(F.size(found) == 0, 1.0).otherwise(0.0).alias("compliance_score"))
+
+
+def attach_trust(results: DataFrame, registries: DataFrame) -> DataFrame:
+    """results with the name and trust of their registry; unknown where it isn't listed."""
+    known = registries.select("registry", "registry_name", "trust").dropDuplicates(["registry"])
+    return results.join(known, "registry", "left").fillna("unknown", ["registry_name", "trust"])
+
+
+def embed_text(entries: DataFrame) -> DataFrame:
+    """``identifier, part, text``: an entry's main text, and each of its representative queries by itself."""
+    main = F.concat_ws(" ", "display_name", "description", F.array_join("tags", " "), F.array_join("capabilities", " "))
+    texts = F.concat(F.array(main), F.coalesce(F.col("queries"), F.array().cast("array<string>")))
+    return entries.select("identifier", F.posexplode(texts).alias("part", "text"))

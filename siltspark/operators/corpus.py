@@ -163,3 +163,45 @@ def block_reason(status: Column, html: Column) -> Column:
 def scan_commands(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """A row for each risky text (``pattern, risk``) that a document holds, whatever its case."""
     return docs.join(F.broadcast(patterns), F.lower("text").contains(F.lower("pattern"))).select("doc_id", "pattern", "risk")
+
+
+#: Where markup and style sheets refer to something else, by kind.
+REFERENCES = {
+    "attribute": r"""(?is)\s(?:href|src|poster|data)\s*=\s*["']([^"']+)["']""", "srcset": r"""(?is)\ssrcset\s*=\s*["']([^"']+)["']""",
+    "css": r"""(?is)url\(\s*["']?([^"')]+)["']?\s*\)""", "import": r"""(?is)@import\s+["']([^"']+)["']""",
+}
+
+
+def all_refs(pages: DataFrame) -> DataFrame:
+    """page_id, kind, ref: each distinct reference of a page; a srcset's candidates one by one, without their sizes."""
+    named = lambda found, kind: F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("ref")))
+    every = []
+    for kind, pattern in REFERENCES.items():
+        found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
+        if kind == "srcset":
+            found = F.transform(F.flatten(F.transform(found, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1))
+        every.append(named(found, kind))
+    return pages.select("page_id", F.inline(F.array_distinct(F.concat(*every)))).where("ref <> ''")
+
+
+def mime_counter(urls: DataFrame) -> DataFrame:
+    """How many URLs have each MIME type."""
+    return urls.groupBy(mime_of(F.col("url")).alias("mime")).agg(F.count("*").alias("n"))
+
+
+def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Each key with where it is: old, new or both; one shuffle of keys."""
+    sides = old.select(key, F.lit(1).alias("side")).union(new.select(key, F.lit(2)))
+    where = sides.groupBy(key).agg(F.bit_or("side").alias("side"))
+    return where.select(key, F.when(F.col("side") == 3, "both").when(F.col("side") == 1, "old").otherwise("new").alias("side"))
+
+
+def rel_path(source: Column, target: Column) -> Column:
+    """The path from source's directory to target; a source whose last part has a dot is a file in it."""
+    parts = lambda p: F.filter(F.split(p, "/"), lambda x: x != "")
+    s, t = parts(source), parts(target)
+    s = F.when(F.coalesce(F.try_element_at(s, F.lit(-1)).contains("."), F.lit(False)), F.slice(s, F.lit(1), F.greatest(F.size(s) - 1, F.lit(0)))).otherwise(s)
+    first = F.nullif(F.array_position(F.zip_with(s, t, lambda a, b: a.eqNullSafe(b)), F.lit(False)), F.lit(0).cast("long"))
+    common = F.coalesce(first - 1, F.size(s)).cast("int")
+    steps = F.concat(F.array_repeat(F.lit(".."), F.size(s) - common), F.slice(t, common + 1, F.size(t)))
+    return F.when(F.size(steps) == 0, ".").otherwise(F.array_join(steps, "/"))

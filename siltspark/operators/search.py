@@ -95,3 +95,37 @@ def fill(primary: DataFrame, fallback: DataFrame, k: int) -> DataFrame:
     both = primary.select("id", "score", F.lit(0).alias("source")).unionByName(fallback.select("id", "score", F.lit(1).alias("source")))
     first = both.groupBy("id").agg(F.min_by("score", "source").alias("score"), F.min("source").alias("source"))
     return first.orderBy("source", F.desc("score"), "id").limit(k)
+
+
+def hybrid_recall(first: DataFrame, vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
+    """A first stage's few rows ``id, score`` again, by 0.7 * cosine + 0.3 / rank there.
+
+    vectors: ``id, vec``; query: one row ``q``.  A row without a vector has a cosine of 0.
+    """
+    ranked = first.withColumn("r", F.row_number().over(W.orderBy(F.desc("score"), "id"))).select("id", "r")
+    near = F.broadcast(ranked).join(vectors, "id").crossJoin(F.broadcast(query.limit(1))).select("id", cosine(F.col("vec"), F.col("q")).alias("c"))
+    both = ranked.join(near, "id", "left")
+    return both.select("id", F.round(0.7 * F.coalesce("c", F.lit(0.0)) + 0.3 / F.col("r"), 4).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+
+
+def search_with_memory(messages: DataFrame, memories: DataFrame, query: str, k: int) -> DataFrame:
+    """Messages that hold the query with their scores, and marked memories that hold it, at 0.5: ``preview, score``."""
+    hits = like_search(messages, query, k).join(messages.select("session_id", "turn", "content"), ["session_id", "turn"])
+    short = lambda c, n: F.when(F.length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(F.col(c))
+    found = memories.where(F.lower("memory").contains(query.lower()))
+    return hits.select(short("content", 200).alias("preview"), "score").unionByName(
+        found.select(F.concat(F.lit("[Memory] "), short("memory", 190)).alias("preview"), F.lit(0.5).alias("score"))
+    )
+
+
+def vec_format(vec: Column) -> Column:
+    """[x,y,…] with six decimals."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vec, lambda x: F.format_string("%.6f", x.cast("double"))), ","), F.lit("]"))
+
+
+def vec_parse(text: Column) -> Column:
+    """The vector of such a text, an unreadable component as 0; null without brackets or components."""
+    t = F.trim(text)
+    inner = F.substring(t, F.lit(2), F.length(t) - 2)
+    parts = F.transform(F.split(inner, ","), lambda x: F.coalesce(F.trim(x).try_cast("float"), F.lit(0.0).cast("float")))
+    return F.when(t.startswith("[") & t.endswith("]") & (inner != ""), parts)

@@ -165,3 +165,36 @@ def score_eval(cases: DataFrame, pattern: str, least: int) -> DataFrame:
 def eval_summary(results: DataFrame) -> DataFrame:
     n = F.count("*")
     return results.agg(F.count_if("passed").alias("passed"), n.alias("total"), F.round(100.0 * F.count_if("passed") / F.greatest(n, F.lit(1)), 4).alias("percent"))
+
+
+#: Words that are no keywords.
+STOP_WORDS = ("the", "a", "an", "is", "are", "was", "were", "be", "to", "of", "in", "for", "on", "with", "at", "by", "this", "that", "it", "and", "or", "but", "not", "so")
+#: Marks of an abstract question.
+ABSTRACT = ("why", "how", "explain", "concept", "idea", "mean", "difference", "relation", "summary")
+
+
+def last_n(df: DataFrame, order: str, n: int = 100) -> DataFrame:
+    """The newest n rows."""
+    return df.orderBy(F.desc(order)).limit(n)
+
+
+def apply_policy(calls: DataFrame, deny: tuple[str, ...] = (), allow: tuple[str, ...] = ()) -> DataFrame:
+    """calls whose name isn't denied and, if any are listed, is allowed; * fits every name, case is ignored."""
+    fits = lambda names: F.lit("*" in names) | F.lower("name").isin(*[n.lower() for n in names])
+    calls = calls.where(~fits(deny)) if deny else calls
+    return calls.where(fits(allow)) if allow else calls
+
+
+def _fields(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
+def keywords(text: Column, k: int = 5) -> Column:
+    """The first k distinct words of over two bytes that are no stop words."""
+    return F.slice(F.array_distinct(F.filter(_fields(text), lambda w: (F.octet_length(w) > 2) & ~w.isin(*STOP_WORDS))), 1, k)
+
+
+def route(text: Column) -> Column:
+    """hybrid for over ten words, vector for an abstract question, else lexical."""
+    abstract = F.greatest(*[F.lower(text).contains(m) for m in ABSTRACT])
+    return F.when(F.size(_fields(text)) > 10, "hybrid").when(abstract, "vector").otherwise("lexical")

@@ -513,3 +513,104 @@ def match(s, d):
 @query(f"WITH {_TRIPLES_SQL} SELECT DISTINCT s, p, o FROM triples WHERE contains(lower(o), 'tion/1') OR contains(lower(o), 'us') ORDER BY s, p, o LIMIT 20")
 def graph_context(s, d):
     return graph.graph_context(_triples(s, d), ["tion/1", "US"])
+
+
+# recall, policy and references
+
+
+@query(f"WITH {T} SELECT event_id, name FROM traces ORDER BY event_id DESC LIMIT 100")
+def last_n(s, d):
+    return ses.last_n(_traces(s, d).select("event_id", "name"), "event_id")
+
+
+@query(f"WITH {T} SELECT event_id, name FROM traces WHERE name <> 'error' AND name IN ('click', 'view', 'error')")
+def apply_policy(s, d):
+    return ses.apply_policy(_traces(s, d), ("Error",), ("click", "VIEW", "error")).select("event_id", "name")
+
+
+_FIELDS_SQL = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_FIELDS_SQL} AS w FROM conversations),
+u AS (SELECT conv_id, turn, word, min(i) AS i FROM (SELECT conv_id, turn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w) WHERE strlen(word) > 2 AND word NOT IN {ses.STOP_WORDS} GROUP BY ALL),
+k AS (SELECT conv_id, turn, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) <= 5) GROUP BY ALL)
+SELECT conv_id AS session_id, turn, coalesce(words, '') AS words FROM conversations LEFT JOIN k USING (conv_id, turn)""")
+def keywords(s, d):
+    return _messages(s, d).select("session_id", "turn", F.array_join(ses.keywords(F.coalesce("content", F.lit(""))), " ").alias("words"))
+
+
+@query(f"""SELECT conv_id AS session_id, turn, CASE WHEN len({_FIELDS_SQL}) > 10 THEN 'hybrid' WHEN regexp_matches(lower(text), '{"|".join(ses.ABSTRACT)}') THEN 'vector' ELSE 'lexical' END AS mode FROM conversations""")
+def route(s, d):
+    return _messages(s, d).select("session_id", "turn", ses.route(F.col("content")).alias("mode"))
+
+
+@query(f"""WITH f AS ({ORACLES["bm25_search"].replace("LIMIT 10", "LIMIT 50")}), r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM f),
+q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3)
+SELECT id, round(0.7 * coalesce(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT v FROM q)), 0) + 0.3 / r, 4) AS score FROM r LEFT JOIN embeddings e ON e.vec_id = r.id ORDER BY score DESC, id LIMIT 20""")
+def hybrid_recall(s, d):
+    first = search.bm25_search(_docs(s, d), "doc_id", "text", "thea inge", 50).withColumnRenamed("doc_id", "id")
+    v = _vectors(s, d)
+    return search.hybrid_recall(first, v, v.where("id = 3").select(F.col("vec").alias("q")), 20)
+
+
+@query(f"""WITH {M}, {MEM}, h AS (SELECT content, round(least(1.0, ((length(content) - length(replace(lower(content), 'inge', ''))) / 4.0) / (floor(length(content) / 100) + 1)), 4) AS score
+FROM messages WHERE contains(lower(content), 'inge') ORDER BY session_id DESC, turn DESC LIMIT 20)
+SELECT CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview, score::DOUBLE AS score FROM h
+UNION ALL SELECT '[Memory] ' || CASE WHEN length(memory) > 190 THEN substr(memory, 1, 190) || '...' ELSE memory END, 0.5 FROM memories WHERE user_id = 3 AND contains(lower(memory), 'inge')""")
+def search_with_memory(s, d):
+    return search.search_with_memory(_messages(s, d), src.read_memories(s, d).where("user_id = 3"), "inge", 20)
+
+
+@query("SELECT vec_id, '[' || list_aggregate(list_transform(embedding, lambda x: printf('%.6f', x::DOUBLE)), 'string_agg', ',') || ']' AS text, len(embedding)::INTEGER AS n FROM embeddings")
+def vec_format(s, d):
+    e = src.load(s, d, "embeddings").select("vec_id", search.vec_format(F.col("embedding")).alias("text"))
+    return e.withColumn("n", F.size(search.vec_parse(F.col("text"))))
+
+
+@query(f"""WITH {C} SELECT identifier, coalesce(r_name, 'unknown') AS registry_name, CASE WHEN r_name IS NULL THEN 'unknown' WHEN r_regionkey = 0 THEN 'high' ELSE 'low' END AS trust
+FROM catalog LEFT JOIN region ON r_regionkey = version % 7""")
+def attach_trust(s, d):
+    known = src.load(s, d, "region").select(F.col("r_regionkey").alias("registry"), F.col("r_name").alias("registry_name"), F.when(F.col("r_regionkey") == 0, "high").otherwise("low").alias("trust"))
+    return cat.attach_trust(_catalog(s, d).withColumn("registry", F.col("version") % 7), known).select("identifier", "registry_name", "trust")
+
+
+@query(f"""WITH {C} SELECT identifier, 0 AS part, concat_ws(' ', display_name, description, array_to_string(tags, ' '), array_to_string(capabilities, ' ')) AS text FROM catalog
+UNION ALL SELECT identifier, 1, concat('find ', display_name) FROM catalog WHERE version % 2 = 0""")
+def embed_text(s, d):
+    some = F.when(F.col("version") % 2 == 0, F.array(F.concat(F.lit("find "), "display_name")))
+    return cat.embed_text(_catalog(s, d).withColumn("queries", some))
+
+
+_REF_SQL = " UNION ALL ".join(
+    f"SELECT page_id, '{k}' AS kind, unnest(regexp_extract_all(html, '{p.replace(chr(39), chr(39) * 2)}', 1)) AS ref FROM pages" for k, p in web.REFERENCES.items() if k != "srcset"
+)
+_SRCSET = web.REFERENCES["srcset"].replace("'", "''")
+
+
+@query(f"""SELECT DISTINCT * FROM ({_REF_SQL} UNION ALL SELECT page_id, 'srcset', regexp_extract(c, '^\\s*(\\S+)', 1)
+FROM (SELECT page_id, unnest(string_split(x, ',')) AS c FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_SRCSET}', 1)) AS x FROM pages))) WHERE ref <> ''""")
+def all_refs(s, d):
+    return web.all_refs(_pages(s, d))
+
+
+_MIME_CASES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in web.MIME.items())
+
+
+@query(f"""SELECT CASE lower(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '\\.([A-Za-z0-9]+)$', 1)) {_MIME_CASES} ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM pages GROUP BY 1""")
+def mime_counter(s, d):
+    return web.mime_counter(_pages(s, d))
+
+
+@query("""SELECT DISTINCT url, CASE WHEN bool_or(page_id % 13 <> 0) AND bool_or(page_id % 11 <> 0) THEN 'both' WHEN bool_or(page_id % 13 <> 0) THEN 'old' ELSE 'new' END AS side
+FROM pages WHERE page_id % 13 <> 0 OR page_id % 11 <> 0 GROUP BY url""")
+def changed_keys(s, d):
+    p = _pages(s, d)
+    return web.changed_keys(p.where("page_id % 13 <> 0"), p.where("page_id % 11 <> 0"), "url")
+
+
+@query("""WITH a AS (SELECT page_id, list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS f, ['en', 'about', 'index.html'] AS t FROM pages),
+b AS (SELECT page_id, CASE WHEN len(f) > 0 AND contains(f[-1], '.') THEN f[1 : len(f) - 1] ELSE f END AS f, t FROM a),
+c AS (SELECT *, coalesce(list_min(list_filter(range(1, greatest(len(f), len(t)) + 1), lambda i: f[i] IS DISTINCT FROM t[i])), len(f) + 1) - 1 AS n FROM b)
+SELECT page_id, array_to_string(list_concat(list_transform(range(len(f) - n), lambda i: '..'), t[n + 1 :]), '/') AS path FROM c""")
+def rel_path(s, d):
+    return _pages(s, d).select("page_id", web.rel_path(web._part(F.col("url"), 3), F.lit("en/about/index.html")).alias("path"))

@@ -76,3 +76,41 @@ def test_frontier_stream_equals_batch(spark, tmp_path):
     q.stop()
     got = sorted(r.url for r in spark.table("frontier").collect())
     assert got == sorted(r.url for r in spark.read.parquet(str(tmp_path / "in")).distinct().collect())
+
+
+@pytest.mark.parametrize("source, target, want", [("a/b", "a/b/c.html", "c.html"), ("a/b/x.html", "a/y.css", "../y.css"), ("a", "a", "."), ("", "k/l", "k/l"), ("a/b/c", "a/x", "../../x"), ("/a/", "b/", "../b")])
+def test_rel_path(spark, source, target, want):
+    assert spark.createDataFrame([(source, target)], "s string, t string").select(corpus.rel_path(F.col("s"), F.col("t"))).first()[0] == want
+
+
+def test_references(spark):
+    html = """<img src="a.png" srcset="b.png 1x, c.png 2x"><a href='d'>x</a><p style="background:url('e.gif')"></p><style>@import "f.css"; p{b:url(g.png)}</style><img src="a.png">"""
+    got = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id int, html string").transform(corpus.all_refs).collect()
+    assert sorted((r.page_id, r.kind, r.ref) for r in got) == [
+        (1, "attribute", "a.png"), (1, "attribute", "d"), (1, "css", "e.gif"), (1, "css", "g.png"), (1, "import", "f.css"), (1, "srcset", "b.png"), (1, "srcset", "c.png"),
+    ]
+
+
+def test_vector_texts(spark):
+    cases = [("[1.000000,-0.500000]", [1.0, -0.5]), ("[]", None), ("1,2", None), (" [x, 2] ", [0.0, 2.0]), (None, None)]
+    got = spark.createDataFrame(cases, "t string, w array<float>").select(search.vec_parse(F.col("t")).alias("v"), "w").collect()
+    assert all(r.v == r.w for r in got)
+
+
+def test_policy(spark):
+    calls = spark.createDataFrame([("Read",), ("write",), ("run",)], "name string")
+    names = lambda *lists: sorted(r.name for r in sessions.apply_policy(calls, *lists).collect())
+    assert names((), ()) == ["Read", "run", "write"] and names(("*",), ("read",)) == [] and names(("RUN",), ("*",)) == ["Read", "write"] and names((), ("read",)) == ["Read"]
+
+
+def test_route_and_keywords(spark):
+    rows = [("the cat AND the cat sat", "lexical", ["cat", "sat"]), ("explain it", "vector", ["explain"]), ("a b c d e f g h i j k", "hybrid", []), ("", "lexical", [])]
+    got = spark.createDataFrame(rows, "t string, r string, k array<string>").select("r", "k", sessions.route(F.col("t")).alias("mode"), sessions.keywords(F.col("t")).alias("words")).collect()
+    assert all(x.r == x.mode and x.k == x["words"] for x in got)
+
+
+def test_hybrid_recall_without_vectors(spark):
+    first = spark.createDataFrame([(1, 3.0), (2, 2.0)], "id long, score double")
+    vectors = spark.createDataFrame([(2, [1.0, 0.0])], "id long, vec array<double>")
+    got = search.hybrid_recall(first, vectors, spark.createDataFrame([([1.0, 0.0],)], "q array<double>"), 5).collect()
+    assert [(r.id, r.score) for r in got] == [(2, 0.85), (1, 0.3)]
