@@ -155,3 +155,17 @@ def embed_text(entries: DataFrame) -> DataFrame:
     main = F.concat_ws(" ", "display_name", "description", F.array_join("tags", " "), F.array_join("capabilities", " "))
     texts = F.concat(F.array(main), F.coalesce(F.col("queries"), F.array().cast("array<string>")))
     return entries.select("identifier", F.posexplode(texts).alias("part", "text"))
+
+
+def valid_attestations(manifests: DataFrame, now: str) -> DataFrame:
+    """manifest_id, n_valid, expired, valid: attestations with a URI whose period holds now, and whether all do in a manifest that isn't expired.
+
+    attestations: structs of type, uri, valid_from and valid_until; a null bound, list or expiry is open or empty.
+    """
+    moment = F.lit(now).cast("timestamp")
+    good = lambda a: (F.coalesce(a["uri"], F.lit("")) != "") & F.coalesce(a["valid_from"] <= moment, F.lit(True)) & F.coalesce(a["valid_until"] >= moment, F.lit(True))
+    m = manifests.withColumn("_n", F.coalesce(F.size(F.filter("attestations", good)), F.lit(0)))
+    expired = F.coalesce(F.col("expires_at") < moment, F.lit(False))
+    total = F.when(F.col("attestations").isNull(), 0).otherwise(F.size("attestations"))
+    n = F.greatest(F.col("_n"), F.lit(0))
+    return m.select("manifest_id", n.alias("n_valid"), expired.alias("expired"), ((n == total) & ~expired).alias("valid"))

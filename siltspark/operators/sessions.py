@@ -158,7 +158,7 @@ def health_rollup(checks: DataFrame) -> DataFrame:
 def score_eval(cases: DataFrame, pattern: str, least: int) -> DataFrame:
     """Pattern, length and not-empty metrics of each response, and whether all pass."""
     r = F.coalesce(F.col("response"), F.lit(""))
-    out = cases.select("case_id", r.contains(pattern).cast("double").alias("pattern"), F.round(F.least(F.lit(1.0), F.length(r) / least), 4).alias("min_length"), (F.trim(r) != "").cast("double").alias("not_empty"))
+    out = cases.select("case_id", F.lower(r).contains(pattern.lower()).cast("double").alias("pattern"), F.round(F.least(F.lit(1.0), F.length(r) / least), 4).alias("min_length"), (F.trim(r) != "").cast("double").alias("not_empty"))
     return out.withColumn("passed", (F.col("pattern") >= 1) & (F.col("min_length") >= 1) & (F.col("not_empty") >= 1))
 
 

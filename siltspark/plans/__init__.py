@@ -1,0 +1 @@
+from siltspark.plans import registry, job_queries  # noqa: F401, I001  the second adds its queries to the first

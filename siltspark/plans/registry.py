@@ -241,8 +241,8 @@ def health_rollup(s, d):
     return ses.health_rollup(_traces(s, d).select(F.when(v > 99, "unhealthy").when(v > 50, "degraded").otherwise("healthy").alias("status")))
 
 
-@query("""SELECT conv_id * 1000 + turn AS case_id, contains(text, 'the')::DOUBLE AS pattern, round(least(1.0, length(text) / 200), 4)::DOUBLE AS min_length, (trim(text) <> '')::DOUBLE AS not_empty,
-contains(text, 'the') AND least(1.0, round(length(text) / 200, 4)) >= 1 AND trim(text) <> '' AS passed FROM conversations WHERE role = 'assistant'""")
+@query("""SELECT conv_id * 1000 + turn AS case_id, contains(lower(text), 'the')::DOUBLE AS pattern, round(least(1.0, length(text) / 200), 4)::DOUBLE AS min_length, (trim(text) <> '')::DOUBLE AS not_empty,
+contains(lower(text), 'the') AND least(1.0, round(length(text) / 200, 4)) >= 1 AND trim(text) <> '' AS passed FROM conversations WHERE role = 'assistant'""")
 def score_eval(s, d):
     return ses.score_eval(_cases(s, d), "the", 200)
 

@@ -78,21 +78,25 @@ def read_docs(spark: SparkSession, path: str, types: tuple[str, ...] = DOCUMENT_
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(types) + "}").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     return files.select(
-        "path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), F.array(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("tags"), F.decode("content", F.lit("UTF-8")).alias("text")
+        "path", F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), F.array(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("tags"), F.decode("content", "UTF-8").alias("text")
     )
 
 
 def read_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Concept files with front matter: (concepts, rejects); index and log files are left out."""
+    """Concept files with front matter: (concepts, rejects); index and log files are left out.
+
+    A concept's id is its path below the bundle's, without the ending.
+    """
+    root = path.split("://")[-1].rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(path)
-    raw = files.select("path", F.decode("content", F.lit("UTF-8")).alias("raw")).where(~F.col("path").rlike(r"/(index|log)\.md$"))
+    raw = files.select("path", F.decode("content", "UTF-8").alias("raw")).where(~F.col("path").rlike(r"/(index|log)\.md$"))
     block = F.regexp_extract("raw", r"(?s)\A---\n(.*?)\n---\n?", 1)
     opened = F.col("raw").startswith("---\n")
     closed = F.col("raw").rlike(r"(?s)\A---\n.*?\n---")
     raw = raw.withColumns({"front": block, "ok": ~opened | closed})
     field = lambda k: F.regexp_extract("front", rf"(?m)^{k}:\s*\"?([^\"\n]*?)\"?\s*$", 1)
     concepts = raw.where("ok").select(
-        F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.md$", "").alias("id"), "path",
+        F.regexp_replace(F.substring_index("path", root, -1), r"\.md$", "").alias("id"), "path",
         F.coalesce(F.nullif(field("type"), F.lit("")), F.lit("concept")).alias("type"), field("title").alias("title"), field("description").alias("description"),
         F.expr(r"filter(transform(split(regexp_extract(front, '(?m)^tags:\\s*\\[([^\\]]*)\\]', 1), ','), x -> trim(x)), x -> x <> '')").alias("tags"),
         F.regexp_replace("raw", r"(?s)\A---\n.*?\n---\n?", "").alias("body"),
@@ -119,12 +123,15 @@ def write_catalog(entries: DataFrame, path: str) -> None:
 
 
 def read_csv_mapped(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of a CSV file with a header: one triple per column of a row."""
-    rows = spark.read.csv(path, schema=f"{schema}, _bad string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    """(triples, errors) of a CSV file with a header: one triple per column of a row; errors has a bad row's key, if it could be read, and text.
+
+    Columns aren't pruned, for a row is bad by any of them.
+    """
+    rows = spark.read.option("columnPruning", "false").csv(path, schema=f"{schema}, _bad string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
     names = [c for c in rows.columns if c not in (key, "_bad")]
     pairs = F.array(*[F.struct(F.lit(c).alias("p"), F.col(c).cast("string").alias("o")) for c in names])
     good = rows.where("_bad is null")
-    return good.select(F.col(key).cast("string").alias("s"), F.inline(pairs)), rows.where("_bad is not null").select("_bad")
+    return good.select(F.col(key).cast("string").alias("s"), F.inline(pairs)), rows.where("_bad is not null").select(key, "_bad")
 
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:
