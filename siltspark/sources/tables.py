@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: File types that a document directory scan takes.
 DOCUMENT_TYPES = ("md", "txt", "json", "yaml", "yml", "csv", "html", "xml", "log")
@@ -123,15 +126,18 @@ def write_catalog(entries: DataFrame, path: str) -> None:
 
 
 def read_csv_mapped(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(triples, errors) of a CSV file with a header: one triple per column of a row; errors has a bad row's key, if it could be read, and text.
+    """(triples, errors) of a CSV file with a header: one triple per column of a good row.
 
-    Columns aren't pruned, for a row is bad by any of them.
+    A row is bad if a value doesn't fit the schema or it has another number of values; errors has its key and its text.
+    Values are read as text and held against the schema here, for a scan only sees what is wrong in columns that it reads.
     """
-    rows = spark.read.option("columnPruning", "false").csv(path, schema=f"{schema}, _bad string", header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
-    names = [c for c in rows.columns if c not in (key, "_bad")]
-    pairs = F.array(*[F.struct(F.lit(c).alias("p"), F.col(c).cast("string").alias("o")) for c in names])
-    good = rows.where("_bad is null")
-    return good.select(F.col(key).cast("string").alias("s"), F.inline(pairs)), rows.where("_bad is not null").select(key, "_bad")
+    fields = StructType.fromDDL(schema).fields
+    texts = ", ".join(f"`{f.name}` string" for f in fields) + ", _bad string"
+    rows = spark.read.option("columnPruning", "false").csv(path, schema=texts, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad")
+    misfit = reduce(Column.__or__, [F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull() for f in fields], F.col("_bad").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(f.name).alias("p"), F.col(f.name).cast(f.dataType).cast("string").alias("o")) for f in fields if f.name != key])
+    text = F.coalesce("_bad", F.array_join(F.array(*[F.coalesce(f.name, F.lit("")) for f in fields]), ","))
+    return rows.where(~misfit).select(F.col(key).alias("s"), F.inline(pairs)), rows.where(misfit).select(key, text.alias("_bad"))
 
 
 def read_change_log(spark: SparkSession, path: str) -> DataFrame:

@@ -62,10 +62,10 @@ def test_catalog_files(spark, tmp_path):
 
 
 def test_csv_to_triples(spark, tmp_path):
-    write(tmp_path / "n.csv", "id,name,size\n1,a,2\n2,b,x\n3,c,\n")
+    write(tmp_path / "n.csv", "id,name,size\n1,a,2\n2,b,x\n3,c,\n4,d\n")
     triples, errors = tables.read_csv_mapped(spark, str(tmp_path / "n.csv"), "id int, name string, size int", "id")
     assert {(r.s, r.p, r.o) for r in triples.collect()} == {("1", "name", "a"), ("1", "size", "2"), ("3", "name", "c"), ("3", "size", None)}
-    assert [r._bad for r in errors.collect()] == ["2,b,x"]
+    assert [r._bad for r in errors.collect()] == ["2,b,x", "4,d"]
 
 
 def test_change_log(spark, tmp_path):
