@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltspark.operators.corpus import _part, canonical_url, clean_path, host, url_ending
+from siltspark.operators.corpus import VALUE, _part, attribute, clean_path, host, resolve_ref, url_ending
 
 #: Path endings of video, audio, documents, archives and installers, which a crawl leaves where they are.
 SKIPPED_TYPES = (
@@ -22,8 +22,6 @@ ASSET_ATTRIBUTES = (
 #: Link relations that name an asset.
 ASSET_RELATIONS = ("stylesheet", "icon", "apple-touch-icon", "apple-touch-icon-precomposed", "mask-icon", "manifest", "preload")
 
-_VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-
 
 def registrable(h: Column, suffixes: Sequence[str] = ()) -> Column:
     """The last two labels of a host without its port; the last three under a listed two-label suffix."""
@@ -50,16 +48,6 @@ def asset_key(url: Column, prefix: str = "_assets") -> Column:
     return F.concat(F.lit(f"{prefix}/"), host(url), F.lit("/"), F.substring(path, F.lit(1), F.length(path) - F.length(ending)), mark, ending)
 
 
-def resolve_ref(base: Column, ref: Column) -> Column:
-    """The canonical absolute URL of a reference on a page; null for fragments, data, mail, scripts and the like."""
-    r = F.trim(ref)
-    root, path = F.concat(_part(base, 1), F.lit("://"), _part(base, 2)), _part(base, 3)
-    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
-    full = F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r).when(r.startswith("//"), F.concat(_part(base, 1), F.lit(":"), r)).when(r.startswith("/"), F.concat(root, r))
-    full = full.when(r.startswith("?"), F.concat(root, path, r)).otherwise(F.concat(root, folder, r))
-    return F.when((r != "") & ~r.startswith("#"), canonical_url(full))
-
-
 def extract_assets(pages: DataFrame) -> DataFrame:
     """page_id, element, url: each distinct asset that a page's elements, srcsets and style rules refer to.
 
@@ -70,11 +58,10 @@ def extract_assets(pages: DataFrame) -> DataFrame:
         return F.filter(F.flatten(F.array(*every)), lambda x: x != "")
 
     named = lambda refs, element: F.transform(refs, lambda x: F.struct(F.lit(element).alias("element"), x.alias("ref")))
-    kinds = [named(found(rf"(?is)<{tag}\b[^>]*?\s{attribute}{_VALUE}", 1, 2, 3), f"{tag}.{attribute}") for tag, attribute in ASSET_ATTRIBUTES]
+    kinds = [named(found(rf"(?is)<{tag}\b[^>]*?\s{name}{VALUE}", 1, 2, 3), f"{tag}.{name}") for tag, name in ASSET_ATTRIBUTES]
     links = F.regexp_extract_all("html", F.lit(r"(?is)<link\b[^>]*>"), F.lit(0))
-    of = lambda tag, name: F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}{_VALUE}", g) for g in (1, 2, 3)])
-    links = F.filter(links, lambda t: F.arrays_overlap(F.split(F.lower(F.trim(of(t, "rel"))), r"\s+"), F.array(*map(F.lit, ASSET_RELATIONS))))
-    kinds.append(named(F.transform(links, lambda t: of(t, "href")), "link.href"))
+    links = F.filter(links, lambda t: F.arrays_overlap(F.split(F.lower(F.trim(attribute(t, "rel"))), r"\s+"), F.array(*map(F.lit, ASSET_RELATIONS))))
+    kinds.append(named(F.transform(links, lambda t: attribute(t, "href")), "link.href"))
     sets = found(r"""(?is)<(?:img|source)\b[^>]*?\ssrcset\s*=\s*(?:"([^"]*)"|'([^']*)')""", 1, 2)
     kinds.append(named(F.transform(F.flatten(F.transform(sets, lambda x: F.split(x, ","))), lambda x: F.regexp_extract(x, r"^\s*(\S+)", 1)), "srcset"))
     kinds.append(named(found(r"""(?is)url\(\s*(?:"([^"]*)"|'([^']*)'|([^'")\s]+))\s*\)""", 1, 2, 3), "css.url"))

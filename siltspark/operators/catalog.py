@@ -134,12 +134,22 @@ def missing_required(manifests: DataFrame, required: list[str]) -> DataFrame:
     return manifests.select("manifest_id", F.explode(F.array_except(F.array(*map(F.lit, required)), "attestations")).alias("missing"))
 
 
-def compliance(manifests: DataFrame, least: float, identities: list[str], required: list[str]) -> DataFrame:
-    """Violations of a policy and whether a manifest complies; the score is 1 or 0."""
+def identity_type(identity: Column) -> Column:
+    """did, spiffe, dns, x509 or pgp by an identity's prefix; null for any other."""
+    out = F.when(identity.startswith("did:"), "did").when(identity.startswith("spiffe://"), "spiffe")
+    for kind in ("dns", "x509", "pgp"):
+        out = out.when(identity.startswith(kind + ":"), kind)
+    return out
+
+
+def compliance(manifests: DataFrame, least: float, identities: list[str], required: list[str], now: str | None = None) -> DataFrame:
+    """Violations of a policy and whether a manifest complies; the score is 1 or 0.  With now, ``expires_at`` counts too."""
     m = trust_score(manifests)
+    expired = F.col("expires_at") < F.lit(now).cast("timestamp") if now else F.lit(False)
     found = F.array_compact(F.array(
         F.when(F.col("score") < least, "LOW_TRUST_SCORE"), F.when(~F.col("identity_type").isin(*identities), "INVALID_IDENTITY_TYPE"),
         F.when(F.size(F.array_except(F.array(*map(F.lit, required)), "attestations")) > 0, "MISSING_CERTIFICATION"),
+        F.when(expired, "EXPIRED_MANIFEST"),
     ))
     return m.select("manifest_id", F.array_join(found, ",").alias("violations"), (F.size(found) == 0).alias("compliant"), F.when(F.size(found) == 0, 1.0).otherwise(0.0).alias("compliance_score"))
 

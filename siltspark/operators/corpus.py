@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Path endings that mark an asset.
 ASSET_TYPES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "mp4", "webm", "mp3", "pdf", "zip", "gz")
 #: MIME types by path ending.
-MIME = {"html": "text/html", "htm": "text/html", "css": "text/css", "js": "application/javascript", "json": "application/json", "png": "image/png", "jpg": "image/jpeg", "svg": "image/svg+xml"}
+MIME = {
+    "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "json": "application/json", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
+    "svg": "image/svg+xml", "ico": "image/x-icon", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf", "xml": "application/xml", "pdf": "application/pdf", "txt": "text/plain",
+}
 #: Markup that a cleaned page does without, by the name it is counted under.
 REMOVED = {
     "script": r"(?is)<script\b[^>]*>.*?</script\s*>", "noscript": r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", "iframe": r"(?is)<iframe\b[^>]*>.*?</iframe\s*>",
@@ -16,6 +20,11 @@ REMOVED = {
     "refresh": r"""(?is)<meta\b[^>]*http-equiv=["']?refresh[^>]*>""", "conditional": r"(?is)<!--\[if\b.*?\[endif\]-->", "handler": r"""(?is)\son[a-z]+\s*=\s*("[^"]*"|'[^']*')""",
 }
 
+#: The value of an attribute: quoted either way, or bare.
+VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: How an element's own attributes hide it.
+HIDDEN = r"""(?is)\s(?:hidden(?=[\s=>/])|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*|'[^']*)(?:display:\s?none|visibility:\s?hidden|opacity:\s?0(?![.\d])))"""
+
 
 def _part(url: Column, k: int) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?", k)
@@ -80,13 +89,30 @@ def clean_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", html.alias("html"), *counts)
 
 
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute; empty without it."""
+    return F.concat(*[F.regexp_extract(tag, rf"(?is)\s{name}{VALUE}", g) for g in (1, 2, 3)])
+
+
+def resolve_ref(base: Column, ref: Column) -> Column:
+    """The canonical absolute URL of a reference on a page; null for fragments, data, mail, scripts and the like."""
+    r = F.trim(ref)
+    root, path = F.concat(_part(base, 1), F.lit("://"), _part(base, 2)), _part(base, 3)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    full = F.when(r.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), r).when(r.startswith("//"), F.concat(_part(base, 1), F.lit(":"), r)).when(r.startswith("/"), F.concat(root, r))
+    full = full.when(r.startswith("?"), F.concat(root, path, r)).otherwise(F.concat(root, folder, r))
+    return F.when((r != "") & ~r.startswith("#"), canonical_url(full))
+
+
 def extract_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, target: each page's distinct anchors, rooted ones made absolute."""
-    hrefs = F.explode(F.regexp_extract_all("html", F.lit(r'<a[^>]*href="([^"]+)"[^>]*>'), F.lit(1)))
-    links = pages.select("page_id", "url", hrefs.alias("href")).where(~F.lower("href").rlike("^(#|javascript:|mailto:|tel:|data:)"))
-    base = F.regexp_extract("url", r"^([a-z]+://[^/?#]*)", 1)
-    target = F.when(F.col("href").rlike("^[a-z]+://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(base, "href"))
-    return links.select("page_id", "url", target.alias("target")).where("target is not null").distinct()
+    """page_id, url, target: the distinct canonical URLs that a page's anchors, areas and iframes lead to.
+
+    Elements that their own attributes hide are left out.  Repeats are removed within a page, without a shuffle.
+    """
+    tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|area|iframe)\s[^>]*>"), F.lit(0)), lambda t: ~t.rlike(HIDDEN))
+    refs = F.array_distinct(F.transform(tags, lambda t: F.when(t.rlike("(?i)^<iframe"), attribute(t, "src")).otherwise(attribute(t, "href"))))
+    targets = F.array_distinct(F.array_compact(F.transform(refs, lambda r: resolve_ref(F.col("url"), r))))
+    return pages.select("page_id", "url", F.explode(targets).alias("target"))
 
 
 def resolve_links(links: DataFrame, pages: DataFrame) -> DataFrame:
@@ -106,8 +132,15 @@ def in_scope(url: Column, seed_host: str, subdomains: bool, prefix: str, exclude
     return out
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Whether the longest rule whose path starts the URL's allows it; without a rule, yes."""
+def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """Whether the longest rule whose path starts the URL's allows it; without a rule, yes.
+
+    Where rules have an ``agent``, a host's group for the agent counts, and that for * only if there is none.
+    """
+    if "agent" in rules.columns:
+        own = F.lower("agent") == agent.lower()
+        groups = rules.where(own | (F.col("agent") == "*")).withColumn("_own", F.max(own).over(W.partitionBy("host")))
+        rules = groups.where(own == F.col("_own"))
     u = urls.select("page_id", F.col("host"), F.col("path"))
     r = rules.select(F.col("host"), F.col("rule_path"), F.col("allow"))
     hit = u.join(r, "host", "left").where(F.col("rule_path").isNull() | F.col("path").startswith(F.col("rule_path")))
@@ -150,14 +183,47 @@ def fingerprint(pages: DataFrame) -> DataFrame:
     return parts.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), "")).alias("fingerprint"))
 
 
-def block_reason(status: Column, html: Column) -> Column:
-    """Why a page is a block page: status codes, then the body; null for a good one."""
+#: Response headers of networks that shield a site.
+SHIELD_HEADERS = (
+    "cf-ray", "cf-chl-bypass", "cf-chl-out", "cf-chl-proxied", "cf-cache-status", "cf-connecting-ip", "cf-ipcountry", "cf-visitor", "x-sucuri-id", "x-sucuri-cache", "x-iinfo", "x-cdn",
+)
+#: Texts of a challenge page, and of a page that asks for a human, in the order in which they are tried.
+CHALLENGE_TEXTS = ("challenges.cloudflare.com", "challenges.cloudflare.com/turnstile", "cf-turnstile", "turnstile", "__cf_chl", "cf_chl_")
+CAPTCHA_TEXTS = (
+    "captcha", "verify you are human", "verify you are a human", "are you a human", "please verify", "security check", "cf-challenge", "cf_challenge", "cf-browser-verification",
+    "checking your browser", "ddos protection", "access denied", "blocked", "your request has been blocked", "please enable javascript", "javascript is required", "browser check",
+    "automated access", "suspicious activity",
+)
+
+
+def block_reason(status: Column, html: Column, headers: Column | None = None) -> Column:
+    """Why a page is a block page: status codes, headers (a map, names in lower case), then the body; null for a good one."""
     text = F.lower(html)
-    out = F.when(status == 403, "forbidden").when(status == 429, "rate limited").when(status == 503, "unavailable").when(F.trim(html) == "", "empty")
+    shielded = F.coalesce(F.exists(F.map_keys(headers), lambda h: F.lower(h).isin(*SHIELD_HEADERS)), F.lit(False)) if headers is not None else F.lit(False)
+    out = F.when(status == 403, "forbidden").when(status == 429, "rate limited").when(shielded, "challenge").when(status == 503, "unavailable").when(F.trim(html) == "", "empty")
     out = out.when((F.length(html) < 200) & (text.contains("forbidden") | text.contains("denied")), "denied")
-    for mark, why in (("challenge-platform", "challenge"), ("verify you are human", "challenge"), ("captcha", "captcha")):
-        out = out.when(text.contains(mark), why)
-    return out
+    holds = lambda marks: F.greatest(*[text.contains(m) for m in marks])
+    return out.when(holds(CHALLENGE_TEXTS), "challenge").when(holds(CAPTCHA_TEXTS), "captcha")
+
+
+def block_snippet(html: Column, around: int = 60) -> Column:
+    """What stands around the first listed text that a page holds, blanks folded; empty without one."""
+    text, at = F.lower(html), F.when(F.lit(False), F.struct(F.lit(0).alias("p"), F.lit(0).alias("n")))
+    for mark in CAPTCHA_TEXTS:
+        at = at.when(text.contains(mark), F.struct(F.locate(mark, text).alias("p"), F.lit(len(mark)).alias("n")))
+    start = F.greatest(at["p"] - around, F.lit(1))
+    cut = F.substring(html, start, F.least(at["p"] + at["n"] + around, F.length(html) + 1) - start)
+    return F.when(at.isNotNull(), F.trim(F.regexp_replace(cut, r"\s+", " "))).otherwise("")
+
+
+def content_hash(content: Column, algorithm: str = "sha256") -> Column:
+    """SHA-256 in hex for dedup, or md5: and the MD5 for caches."""
+    return F.sha2(content, 256) if algorithm == "sha256" else F.concat(F.lit("md5:"), F.md5(content))
+
+
+def unseen(candidates: DataFrame, seen: DataFrame, key: str) -> DataFrame:
+    """Candidates whose key hasn't been seen, each key once; null keys go."""
+    return candidates.where(F.col(key).isNotNull()).dropDuplicates([key]).join(seen.select(key), key, "left_anti")
 
 
 def scan_commands(docs: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -41,6 +41,11 @@ def newest(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("_r") <= n).drop("_r")
 
 
+def recent(df: DataFrame, key: str, order: str, n: int = 20) -> DataFrame:
+    """The newest n rows of each key, newest first."""
+    return newest(df, key, order, n).orderBy(key, F.desc(order))
+
+
 def first_seen(df: DataFrame, key: Column, order: str) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_k", key).withColumn("_r", F.row_number().over(W.partitionBy("_k").orderBy(order))).where("_r = 1").drop("_r", "_k")

@@ -65,6 +65,27 @@ def crawl_plan(s, d):
     return assets.crawl_plan(_pages(s, d).select(F.concat(web.host(F.col("url")), path).alias("key"), depth.alias("depth")), "dfs", 50, 2)
 
 
+@query("SELECT doc_id, sha256(text) AS sha, 'md5:' || md5(text) AS md5 FROM documents")
+def content_hash(s, d):
+    return _docs(s, d).select("doc_id", web.content_hash(F.col("text")).alias("sha"), web.content_hash(F.col("text"), "md5").alias("md5"))
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def unseen(s, d):
+    return web.unseen(_pages(s, d).select("url"), _pages(s, d).where("page_id % 3 = 0"), "url")
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) <= 3")
+def recent(s, d):
+    return ses.recent(src.load(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 3)
+
+
+@query("SELECT s_suppkey, ['did', NULL, 'spiffe', 'dns', 'x509', 'pgp', NULL][s_suppkey % 7 + 1] AS kind FROM supplier")
+def identity_type(s, d):
+    forms = F.array(*map(F.lit, ("did:web:", "did", "spiffe://", "dns:", "x509:", "pgp:", "spiffe:")))
+    return src.load(s, d, "supplier").select("s_suppkey", cat.identity_type(F.concat(F.element_at(forms, (F.col("s_suppkey") % 7 + 1).cast("int")), F.lower("s_name"))).alias("kind"))
+
+
 # facts, replies and arguments
 
 _TOLD = """CASE turn % 5 WHEN 0 THEN 'I PREFER it, let''s say: ' WHEN 1 THEN '我们就这样 ' WHEN 2 THEN 'By the way, ' WHEN 3 THEN 'what do you prefer ' ELSE '' END"""

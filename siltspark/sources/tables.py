@@ -169,3 +169,12 @@ def write_snapshot(pages: DataFrame, path: str, crawl_id: str) -> None:
     """A crawl's manifest: url, content hash and size."""
     out = pages.select("url", F.concat(F.lit("md5:"), F.md5("html")).alias("content_hash"), F.octet_length("html").alias("size"), F.lit(crawl_id).alias("crawl_id"))
     out.write.partitionBy("crawl_id").mode("overwrite").parquet(path)
+
+
+def read_eval(spark: SparkSession, path: str, schema: str = "case_id string, response string, expected_pattern string, min_length int, tools array<string>, expected_tools array<string>") -> DataFrame:
+    """Evaluation cases from JSON files, each one array of cases or one case a file."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def write_eval(results: DataFrame, path: str) -> None:
+    results.write.mode("overwrite").json(path)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltspark.functions import plugins
-from siltspark.operators import assets, bundles, catalog, facts
+from siltspark.operators import assets, bundles, catalog, corpus, facts
 from siltspark.plans import jobs
 from siltspark.sources import tables
 from siltspark.streaming import streams
@@ -101,7 +101,7 @@ def test_ignored(spark):
     ],
 )
 def test_resolve_ref(spark, base, ref, want):
-    assert spark.createDataFrame([(base, ref)], "b string, r string").select(assets.resolve_ref(F.col("b"), F.col("r"))).first()[0] == want
+    assert spark.createDataFrame([(base, ref)], "b string, r string").select(corpus.resolve_ref(F.col("b"), F.col("r"))).first()[0] == want
 
 
 def test_want_asset_and_suffixes(spark):
@@ -218,3 +218,39 @@ def test_discovery_with_trust_and_meaning(spark):
     known = spark.createDataFrame([("r", "R", "high")], "registry string, registry_name string, trust string")
     got = {r.identifier: (r.score, r.trust) for r in jobs.catalog_discovery({"r": one}, "tea", semantic=sem, trust=known)["results"].collect()}
     assert got == {"urn:air:a.com:x": (0.7, "high"), "urn:air:b.com:y": (0.4, "unknown")}
+
+
+def test_links_of_hidden_and_relative_elements(spark):
+    html = """<a href="x">1</a><A HREF='../y#f'>2</a><area href=/z><iframe src="//f.com/"></iframe><a hidden href="/h1">h</a><a style="display: none" href="/h2">h</a><a aria-hidden="true" href="/h3"></a>
+    <a style="opacity:0.5" href="/seen"></a><a href="#t"></a><a href="mailto:a@b.c"></a><a href="javascript:x()"></a><a data-hidden-x="1" href="/z"></a><article href="/no"></article>"""
+    got = {r.target for r in corpus.extract_links(spark.createDataFrame([(1, "http://e.com/d/p", html), (2, "http://e.com/", None), (3, None, html)], "page_id int, url string, html string")).where("page_id < 3").collect()}
+    assert got == {"http://e.com/d/x", "http://e.com/y", "http://e.com/z", "http://f.com/", "http://e.com/seen"}
+
+
+def test_robots_groups(spark):
+    urls = spark.createDataFrame([(1, "a", "/x"), (2, "b", "/x"), (3, "c", "/x")], "page_id int, host string, path string")
+    rules = spark.createDataFrame([("a", "*", "/", True), ("a", "Bot", "/x", False), ("b", "*", "/", False), ("b", "other", "/x", True)], "host string, agent string, rule_path string, allow boolean")
+    assert {r.page_id: r.allowed for r in corpus.robots_allowed(urls, rules, "bot").collect()} == {1: False, 2: False, 3: True}
+
+
+def test_block_headers(spark):
+    rows = [(200, "fine", {"CF-Ray": "1"}, "challenge"), (503, "x", {}, "unavailable"), (503, "x", {"cf-ray": "1"}, "challenge"), (200, "fine", None, None), (403, "", {"cf-ray": "1"}, "forbidden")]
+    df = spark.createDataFrame(rows, "s int, h string, m map<string, string>, w string")
+    assert [r.g for r in df.select(corpus.block_reason(F.col("s"), F.col("h"), F.col("m")).alias("g")).collect()] == [r[3] for r in rows]
+
+
+def test_expired_manifest(spark):
+    m = spark.createDataFrame([(1, "spiffe", ["a"], True, "2023-01-01"), (2, "spiffe", ["a"], True, None)], "manifest_id int, identity_type string, attestations array<string>, trusted boolean, e string").withColumn("expires_at", F.col("e").cast("timestamp"))
+    assert {r.manifest_id: r.violations for r in catalog.compliance(m, 0.5, ["spiffe"], ["a"], "2024-01-01").collect()} == {1: "EXPIRED_MANIFEST", 2: ""}
+
+
+def test_eval_files(spark, tmp_path):
+    write(tmp_path / "cases/a.json", json.dumps([{"case_id": "1", "response": "Some text", "expected_pattern": "TEXT"}, {"case_id": "2", "response": "none"}]))
+    cases = tables.read_eval(spark, str(tmp_path / "cases"))
+    tables.write_eval(plugins.score_metrics(cases, {"response_contains_pattern": 1.0}), str(tmp_path / "out"))
+    assert {r.case_id: r.passed for r in spark.read.json(str(tmp_path / "out")).collect()} == {"1": True, "2": True}
+
+
+@pytest.mark.parametrize("html, want", [("a" * 100 + " Please Verify\n\n" + "b" * 100, "a" * 59 + " Please Verify " + "b" * 58), ("x blocked", "x blocked"), ("fine", ""), (None, "")])
+def test_block_snippet(spark, html, want):
+    assert spark.createDataFrame([(html,)], "h string").select(corpus.block_snippet(F.col("h"))).first()[0] == want
