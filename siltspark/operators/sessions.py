@@ -133,18 +133,29 @@ def latency_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def _by_span(history: DataFrame, span_us: int) -> DataFrame:
+    """Each row in its span of time and, as what came before, in the next: a window over (name, _b) sees a whole span back.
+
+    So a name with very many rows is spread over its spans; rows with ``_own`` are the results.
+    """
+    at = F.floor(F.col("us") / span_us)
+    spread = F.explode(F.array(F.struct(at.alias("_b"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_b"), F.lit(False).alias("_own"))))
+    return history.withColumn("us", F.unix_micros("ts")).select("event_id", "name", "us", spread.alias("_x")).select("event_id", "name", "us", "_x.*")
+
+
 def rolling_count(history: DataFrame, hours: int, limit: int) -> DataFrame:
     """Applied rows of a name in the trailing hours, and whether one more is allowed."""
-    w = W.partitionBy("name").orderBy("us").rangeBetween(-(hours * 3_600_000_000 - 1), 0)
-    h = history.where("applied").withColumn("us", F.unix_micros("ts"))
-    return h.select("event_id", "name", F.count("*").over(w).alias("n")).withColumn("allowed", F.col("n") < limit)
+    span = hours * 3_600_000_000
+    w = W.partitionBy("name", "_b").orderBy("us").rangeBetween(-(span - 1), 0)
+    h = _by_span(history.where("applied"), span).withColumn("n", F.count("*").over(w)).where("_own")
+    return h.select("event_id", "name", "n", (F.col("n") < limit).alias("allowed"))
 
 
 def cooldown_ok(history: DataFrame, seconds: int) -> DataFrame:
-    """Whether a row comes late enough after the name's previous one."""
-    w = W.partitionBy("name").orderBy("ts", "event_id")
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))
-    return history.select("event_id", "name", F.coalesce(gap >= seconds * 1_000_000, F.lit(True)).alias("ok"))
+    """Whether a row comes late enough after the name's previous one; one further back than a span is."""
+    w = W.partitionBy("name", "_b").orderBy("us", "event_id")
+    h = _by_span(history, max(seconds, 1) * 1_000_000).withColumn("gap", F.col("us") - F.lag("us").over(w)).where("_own")
+    return h.select("event_id", "name", F.coalesce(F.col("gap") >= seconds * 1_000_000, F.lit(True)).alias("ok"))
 
 
 def chain(links: DataFrame) -> DataFrame:
