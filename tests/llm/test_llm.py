@@ -251,6 +251,25 @@ def test_repeated_passages(docs, none):
     assert passages.repeated_passages(none.select(F.col("doc_id").alias("row_key"), "text")).count() == 0
 
 
+def variant_first():
+    """A 70 % variant of a passage in the first document, and the passage itself in two more; all three minima are shared."""
+    rng = random.Random(9)
+    w = lambda n: ["w%d" % rng.randrange(10**6) for _ in range(n)]
+    passage = w(60)
+    variant = ["x" if i in (14, 44) else x for i, x in enumerate(passage)]
+    return [(k, " ".join(w(40) + p + w(40))) for k, p in enumerate((variant, passage, passage), 1)]
+
+
+def test_passages_meet_beside_a_variant(spark, monkeypatch):
+    docs = variant_first()
+    got = {r.row_key for r in passages.repeated_passages(spark.createDataFrame(docs, "row_key long, text string").repartition(3)).collect()}
+    assert {2, 3} <= got
+    # and where windows of one hash are too many to compare all
+    monkeypatch.setattr(passages, "PAIRS", 1)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs)], ["row_key", "text"])
+    assert (3, 2) in {p[:2] for b in passages._find(None)([batch]) for p in zip(*(c.to_pylist() for c in b.columns))}
+
+
 def test_urls(spark):
     page = lambda i, u, to=None: (i, u, f'<link rel="canonical" href="{to}">' if to else "<p>", "x", "y")
     rows = [
