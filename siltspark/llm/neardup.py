@@ -2,9 +2,10 @@
 
 1. Each document's distinct 3-word shingles give a set digest and a MinHash signature.  Documents
    with equal sets are one class; a class goes on as one row.
-2. Every tree of the forest sorts all classes by its own order of the signature's values.  Rows next
-   to one another share the longest common prefixes: a row and its next few neighbours are candidates
-   as deep as they agree, so dense regions are compared at greater depth than sparse ones.
+2. Every tree of the forest sorts all classes by its own order of all the signature's values.  Rows
+   next to one another share the longest common prefixes: a row and its next few neighbours are
+   candidates as deep as they agree, so dense regions are compared at greater depth than sparse ones.
+   The outer rows of each sorted partition meet those of the next in a step of their own.
    Candidates whose signatures agree well enough form loose groups.
 3. Inside a loose group all links are confirmed on full sets.  A group beyond BLOCK classes is cut
    into blocks, and each pair of blocks is one task; a task returns edges that connect what its
@@ -27,11 +28,11 @@ from siltspark.llm.words import distinct_per_row, hash_words, mix64, shingles
 
 VALUES = 64
 TREES = 12
-KEY_VALUES = 8
 NEIGHBOURS = 3
 BLOCK = 512
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 _ORDERS = np.array([np.random.default_rng(500 + t).permutation(VALUES) for t in range(TREES)])
+_EDGES = "u long, v long, tree int, key binary"
 
 
 def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -67,48 +68,66 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per class and tree: the first values of the tree's order as a sort key."""
+    """A row per class and tree: the signature in the tree's order as a sort key."""
     for batch in batches:
         if not batch.num_rows:
             continue
         sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
         for t, order in enumerate(_ORDERS):
-            key = sig[:, order[:KEY_VALUES]].astype(">u2").tobytes()
-            keys = [key[i : i + 2 * KEY_VALUES] for i in range(0, len(key), 2 * KEY_VALUES)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(sig), t, np.int32)), pa.array(keys, pa.binary()), batch.column(0), batch.column(1)], ["tree", "key", "node", "sig"]
-            )
+            key = sig[:, order].astype(">u2").tobytes()
+            keys = [key[i : i + 2 * VALUES] for i in range(0, len(key), 2 * VALUES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(keys, pa.binary()), batch.column(0)], ["tree", "key", "node"])
 
 
 def _neighbours(least: float):
-    """Star edges between neighbours in a tree's order; a run of rows is seen with the end of the last one."""
+    """Star edges between neighbours in a tree's order; a run of rows is seen with the end of the last one.
+
+    A partition's first and last NEIGHBOURS rows are given as well, as ``u, tree, key`` without v.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        tail, begun = None, 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tree = batch.column(0).to_numpy()
-            first = np.frombuffer(b"".join(k[:2] for k in batch.column(1).to_pylist()), ">u2").astype(np.int64) + (tree.astype(np.int64) << 16)
-            node = batch.column(2).to_numpy()
-            sig = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint16).reshape(-1, VALUES)
+            tree, node = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u2").reshape(-1, VALUES)
+            if begun < NEIGHBOURS:
+                yield border(*(x[: NEIGHBOURS - begun] for x in (tree, node, sig)))
+                begun += len(node)
             if tail is not None:
-                first, node, sig = np.concatenate([tail[0], first]), np.concatenate([tail[1], node]), np.vstack([tail[2], sig])
+                tree, node, sig = np.concatenate([tail[0], tree]), np.concatenate([tail[1], node]), np.vstack([tail[2], sig])
             u, v = [], []
             for step in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
-                at = np.flatnonzero(first[step:] == first[:-step])
+                at = np.flatnonzero((tree[step:] == tree[:-step]) & (sig[step:, 0] == sig[:-step, 0]))
                 at = at[(sig[at] == sig[at + step]).mean(axis=1) >= least]
                 u.append(node[at])
                 v.append(node[at + step])
-            tail = (first[-NEIGHBOURS:], node[-NEIGHBOURS:], sig[-NEIGHBOURS:])
+            tail = (tree[-NEIGHBOURS:], node[-NEIGHBOURS:], sig[-NEIGHBOURS:])
             if u:
                 u, v = spanning(np.concatenate(u), np.concatenate(v))
                 if len(u):
-                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                    none = [pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())]
+                    yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *none], ["u", "v", "tree", "key"])
+        if tail is not None:
+            yield border(*tail)
+
+    def border(tree: np.ndarray, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
+        keys = pa.array([s.tobytes() for s in sig], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.nulls(len(node), pa.int64()), pa.array(tree), keys], ["u", "v", "tree", "key"])
 
     return run
 
 
+def neighbours(forest: DataFrame, least: float, parts: int, folder: str) -> DataFrame:
+    """``u, v``: edges between rows next to one another in a tree, within partitions and over their borders."""
+    ordered = forest.repartitionByRange(parts, "tree", "key").sortWithinPartitions("tree", "key", "node")
+    found = saved(ordered.mapInArrow(_neighbours(least), _EDGES), folder, "near")
+    # a few rows a partition, so one task takes them all
+    borders = found.where("v is null").select("tree", "key", F.col("u").alias("node")).distinct().coalesce(1).sortWithinPartitions("tree", "key", "node")
+    return found.union(borders.mapInArrow(_neighbours(least), _EDGES)).where("v is not null").select("u", "v")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 21):
@@ -180,9 +199,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = features.where("n_shingles > 0").groupBy("node").agg(F.first("sig").alias("sig"), F.min("row_key").alias("row_key"))
     classes = saved(classes, folder, "classes")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    forest = classes.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long, sig binary")
-    forest = saved(forest, folder, "forest").repartitionByRange(int(parts), "tree", "key").sortWithinPartitions("tree", "key", "node")
-    loose = components(forest.mapInArrow(_neighbours(percent / 100 - 0.2), "u long, v long"), folder + "/loose")
+    forest = classes.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long")
+    near = neighbours(saved(forest, folder, "forest"), percent / 100 - 0.2, int(parts), folder)
+    loose = components(near, folder + "/loose")
     loose = saved(loose.withColumnRenamed("component", "grp"), folder, "groups")
     size = loose.groupBy("grp").agg(F.count("*").alias("size"))
     member = loose.join(size, "grp").join(classes.select("node", "row_key"), "node")

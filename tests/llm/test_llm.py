@@ -201,6 +201,40 @@ def test_blocks_of_a_large_group_meet(monkeypatch):
     assert len(u) == 36 and len(neardup.links(sets, 85, 4)[0]) == 6 + 20
 
 
+def forest_of(spark, sigs):
+    rows = [(n, np.asarray(x, np.uint16).tobytes()) for n, x in sigs]
+    return spark.createDataFrame(rows, "node long, sig binary").mapInArrow(neardup._trees, "tree int, key binary, node long")
+
+
+def linked(spark, forest, parts, folder):
+    out = components(neardup.neighbours(forest, 0.65, parts, str(folder)), str(folder) + "/c").collect()
+    return {r.node: r.component for r in out}
+
+
+def test_forest_sorts_by_the_whole_signature(spark, tmp_path):
+    # 400 classes share the first 8 values of a tree and little else; the two that agree in 52 values have distant nodes
+    rng = np.random.default_rng(1)
+    first = neardup._ORDERS[0][:8]
+    sigs = rng.integers(0, 1 << 16, (400, 64))
+    sigs[399] = sigs[0]
+    sigs[399, neardup._ORDERS[0][52:]] += 1
+    sigs[:, first] = 7
+    forest = forest_of(spark, enumerate(sigs)).where("tree = 0")
+    assert linked(spark, forest, 1, tmp_path) == {0: 0, 399: 0}
+
+
+def test_forest_rows_meet_over_partition_borders(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 1 << 15, 64)
+    sigs = []
+    for n in range(12):
+        x = sig.copy()
+        x[neardup._ORDERS[0][1]] = n
+        sigs.append((n, x))
+    forest = forest_of(spark, sigs).where("tree = 0")
+    assert set(linked(spark, forest, 12, tmp_path)) == set(range(12)) and set(linked(spark, forest, 12, tmp_path / "b").values()) == {0}
+
+
 def test_components(spark, tmp_path):
     u, v = spanning(np.array([5, 3, 9, 1]), np.array([3, 4, 8, 1]))
     assert sorted(zip(u, v)) == [(4, 3), (5, 3), (9, 8)]
