@@ -155,16 +155,17 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_language: int = 300) -> Model:
-    """The model of ``key, text, lang`` rows; per_language rows of each language at most are read by it."""
-    ids = labelled.where("lang is not null and text is not null").select("key", "lang")
+    """The model of ``key, text, lang`` rows; per_language rows of each language at most are read by it, copies once."""
+    labelled = labelled.where("lang is not null and text is not null")
+    ids = labelled.select("key", "lang").distinct()
     picked = ids.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))).where(F.col("r") <= per_language)
-    picked = picked.select("key").distinct()
+    picked = labelled.select("key", "text", "lang").join(F.broadcast(picked.select("key", "lang")), ["key", "lang"]).dropDuplicates(["key", "lang"])
 
     def features(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = [frequencies(t.encode()).tobytes() for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(x, pa.binary())], ["lang", "x"])
 
-    rows = map_batches(labelled.join(F.broadcast(picked), "key", "left_semi").select("text", "lang"), features, "lang string, x binary").collect()
+    rows = map_batches(picked.select("text", "lang"), features, "lang string, x binary").collect()
     rows = sorted((r.lang, bytes(r.x)) for r in rows)
     x = np.array([np.frombuffer(v, np.float32) for _, v in rows], np.float32).reshape(len(rows), DIMS)
     return Model(x, np.array([lang for lang, _ in rows], object))

@@ -151,15 +151,15 @@ class Model:
 
 
 def fit(labelled: DataFrame, per_label: int = 1500) -> Model:
-    """The model of ``key, text, toxic`` rows; per_label rows of each label at most are read by it.
+    """The model of ``key, text, toxic`` rows; per_label rows of each label at most are read by it, copies once.
 
     Rows with a null text or a label other than 0 and 1 are not learned from.
     """
     good = labelled.where("toxic in (0, 1) and text is not null")
     rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
-    picked = good.select("key", "toxic").withColumn("r", rank).where(F.col("r") <= per_label).select("key").distinct()
-    rows = good.join(F.broadcast(picked), "key", "left_semi").select("key", "text", "toxic").collect()
-    rows = sorted({(r.key, r.text, int(r.toxic)) for r in rows})
+    picked = good.select("key", "toxic").distinct().withColumn("r", rank).where(F.col("r") <= per_label).select("key", "toxic")
+    rows = good.select("key", "text", "toxic").join(F.broadcast(picked), ["key", "toxic"]).dropDuplicates(["key", "toxic"]).collect()
+    rows = sorted((r.key, r.text, int(r.toxic)) for r in rows)
     of = lambda label: [r[1].lower().encode() for r in rows if r[2] == label]
     return Model(of(1), of(0))
 
@@ -180,14 +180,14 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500) ->
     """``key, text, toxic`` of the sample of labelled documents; none whose crc32(doc_id) mod 3 is 1.
 
     The sample is chosen by keys alone; the texts of its rows, 2 * per_label keys at most, are then
-    picked in a scan, so that no other text is shuffled.
+    picked in a scan, so that no other text is shuffled.  Repeated documents are given once.
     """
     labels = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").distinct()
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").where((crc_mod("doc_id", 3) != 1) & F.col("text").isNotNull())
     rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
     ids = keyed.select("doc_id", "key").join(labels, "doc_id").select("key", "toxic").distinct().withColumn("r", rank)
     picked = ids.where(F.col("r") <= per_label).select("key", "toxic")
-    return keyed.select("key", "text").join(F.broadcast(picked), "key")
+    return keyed.select("key", "text").join(F.broadcast(picked), "key").dropDuplicates(["key", "toxic"])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

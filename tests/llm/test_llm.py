@@ -111,6 +111,22 @@ def brute_contamination(docs, items):
     return out
 
 
+def test_copies_do_not_fill_the_samples(spark, monkeypatch):
+    texts = ["alpha beta %s" % i for i in range(20)]
+    rows = [(i, t, lang) for lang, o in (("en", 0), ("de", 100)) for i, t in enumerate(texts, o)] + [(1, texts[1], "en")] * 300
+    seen = {}
+    monkeypatch.setattr(langid, "Model", lambda x, labels: seen.update(lang=sorted(labels)))
+    langid.fit(spark.createDataFrame(rows, "key long, text string, lang string").repartition(4), 10)
+    assert seen["lang"] == ["de"] * 10 + ["en"] * 10
+    monkeypatch.setattr(toxicity, "Model", lambda toxic, ordinary: seen.update(toxic=toxic, ordinary=ordinary))
+    rows = [(k, t, int(lang == "en")) for k, t, lang in rows]
+    toxicity.fit(spark.createDataFrame(rows, "key long, text string, toxic int").repartition(4), 10)
+    assert len(set(seen["toxic"])) == 10 and len(seen["ordinary"]) == 10
+    d = spark.createDataFrame([(i, "text %d" % i) for i in range(40)] + [(2, "text 2")] * 300, "doc_id long, text string").repartition(4)
+    got = toxicity.labelled_rows(d, spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int"), 10).collect()
+    assert len(got) == len({r.key for r in got}) <= 20
+
+
 def test_contamination(spark, docs, none):
     items = [(1, PASSAGE), (2, "w1 W2"), (3, None), (4, ""), (5, " ".join(BASE.split()[50:70]).upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
