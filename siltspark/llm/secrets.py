@@ -3,7 +3,8 @@
 A candidate is a run of token characters.  Its character class (hex, alphanumeric or base64) sets
 how high the entropy of some window of it must be; a window's entropy is kept by incremental counts
 as it moves.  Candidates that match an allow-list (UUIDs, dates, example keys, paths and words) are
-left out, as are those that a pattern has found already.
+left out.  What a pattern has found is cut out of a candidate, and the rest, of LEAST characters or more
+in a piece, is scanned.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ KINDS = ("assign", "access", "hex", "entropy")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 #: Window length, and the least entropy in bits of a window of each character class.
 WINDOW = 20
 LEAST_BITS = {"hex": 2.9, "alnum": 3.6, "base64": 3.8}
@@ -60,6 +62,17 @@ def highest_entropy(s: str, window: int = WINDOW) -> float:
     return best
 
 
+def _left(lo: int, hi: int, base: list[tuple[int, int]], at: int) -> Iterator[tuple[int, int]]:
+    """What the spans of base, ascending and from number at on, leave of a stretch."""
+    while at < len(base) and base[at][0] < hi:
+        if base[at][0] > lo:
+            yield lo, base[at][0]
+        lo = max(lo, base[at][1])
+        at += 1
+    if lo < hi:
+        yield lo, hi
+
+
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """``(start, kind number, end)`` of every secret, by start and kind; code points, end exclusive."""
     spans = []
@@ -68,13 +81,15 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text)]
     spans += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    base = list(spans)
+    base = sorted((lo, hi) for lo, _, hi in spans)
+    at = 0
     for m in _CANDIDATE.finditer(text):
-        s, lo, hi = m[0], m.start(), m.end()
-        if s.isalpha() or not any(c.isdigit() for c in s) or any(a < hi and lo < b for a, _, b in base) or ALLOW.fullmatch(s):
-            continue
-        if highest_entropy(s) >= LEAST_BITS[char_class(s)]:
-            spans.append((lo, 3, hi))
+        while at < len(base) and base[at][1] <= m.start():
+            at += 1
+        for lo, hi in _left(m.start(), m.end(), base, at):
+            s = text[lo:hi]
+            if hi - lo >= LEAST and not s.isalpha() and not ALLOW.fullmatch(s) and highest_entropy(s) >= LEAST_BITS[char_class(s)]:
+                spans.append((lo, 3, hi))
     return sorted(spans)
 
 

@@ -284,6 +284,17 @@ def brute_windows(v, least):
     return out
 
 
+def test_secrets_beside_found_ones():
+    access, key = "AKIA" + "Q7ZX" * 4, "wJalrXUtnFEMI/K7MDENG+bPxRfiCYzq3vTgKd9s"
+    for joint in "/=_":
+        t = "see " + access + joint + key + " there"
+        assert secrets.redact(t, secrets.find_spans(t)) == "see <secret><secret> there"
+    t = key[:30] + "0123abcd" * 3 + key[:30]
+    assert [k for _, k, _ in secrets.find_spans(t)] == [3, 2, 3]
+    assert [k for _, k, _ in secrets.find_spans("qWzRtY+pLmKjHgFdSaXcVbNe")] == [3]  # no digit
+    assert secrets.find_spans("some/path/of/words-and-more") == []
+
+
 def test_compact_windows():
     rng = np.random.default_rng(1)
     rows = [rng.integers(1, 40 if i % 2 else 10**6, n).astype(np.uint64) for i, n in enumerate((0, 3, 7, 30, 100, 0, 57))]
