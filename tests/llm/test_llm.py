@@ -327,8 +327,48 @@ def test_passages_meet_beside_a_variant(spark, monkeypatch):
     assert {2, 3} <= got
     # and where windows of one hash are too many to compare all
     monkeypatch.setattr(passages, "PAIRS", 1)
-    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*docs)], ["row_key", "text"])
-    assert (3, 2) in {p[:2] for b in passages._find(None)([batch]) for p in zip(*(c.to_pylist() for c in b.columns))}
+    got = {r.row_key for r in passages.repeated_passages(spark.createDataFrame(docs, "row_key long, text string").repartition(3)).collect()}
+    assert {2, 3} <= got
+
+
+def test_every_exact_repeat_is_covered(spark):
+    """Against brute force: every word inside a 50-word stretch that another document has is inside a passage."""
+    rng = random.Random(31)
+    w = lambda n: ["v%d" % rng.randrange(60) for _ in range(n)]
+    blocks, line = [w(n) for n in (46, 50, 51, 58, 75, 140)], w(30)
+    rows = []
+    for k in range(40):
+        parts = [x for _ in range(rng.randrange(1, 4)) for x in (w(rng.randrange(0, 60)), rng.choice(blocks), line if rng.random() < 0.5 else [])]
+        rows.append((k, " ".join(x for p in parts for x in p)))
+    rows += [(40, rows[3][1]), (41, rows[3][1].upper()), (41, rows[3][1].upper()), (42, None), (43, ""), (44, " ".join(w(49)))]
+    words = {k: (t or "").lower().split() for k, t in rows}
+    having = {}
+    for k, x in words.items():
+        for i in range(len(x) - 49):
+            having.setdefault(tuple(x[i : i + 50]), set()).add(k)
+    spans, ids = {k: set() for k in words}, {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "row_key long, text string").repartition(5)).collect():
+        assert 0 <= r.start and r.end <= len(words[r.row_key]) and r.end - r.start >= 50 and not spans[r.row_key] & set(range(r.start, r.end))
+        spans[r.row_key] |= set(range(r.start, r.end))
+        ids |= {(r.row_key, i): r.passage_id for i in range(r.start, r.end)}
+    for k, x in words.items():
+        for i in range(len(x) - 49):
+            same = having[tuple(x[i : i + 50])]
+            if len(same) > 1:
+                assert spans[k] >= set(range(i, i + 50))
+                for j in same:
+                    at = next(m for m in range(len(words[j]) - 49) if words[j][m : m + 50] == x[i : i + 50])
+                    assert ids[(j, at)] == ids[(k, i)]
+
+
+def test_similar_stretches():
+    a = np.arange(70, dtype=np.uint32)
+    b = a.copy()
+    b[10:15] = 900 + np.arange(5)
+    assert passages.passages(a, b) == [(0, 69, 0, 69)]
+    assert passages.passages(a[:60], np.concatenate([a[:30], [999] * 5, a[34:60]]).astype(np.uint32))  # words put in between
+    assert passages.passages(a[:56], np.concatenate([a[:8], [999] * 5, a[13:56]]).astype(np.uint32)) == [(0, 55, 0, 55)]  # an edit near an end
+    assert not passages.passages(a, np.where(a % 4 == 0, 999, a).astype(np.uint32)) and not passages.passages(a[:45], a[:45]) and not passages.passages(a[:0], a)
 
 
 def test_urls(spark):
