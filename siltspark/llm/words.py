@@ -131,9 +131,9 @@ def unpacked(b: bytes, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(n)
 
 
-def sequence_hashes(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def sequence_hashes(hashes: np.ndarray, at: np.ndarray, n: np.ndarray | int) -> np.ndarray:
     """Hashes of the n values from each of the places on; all of them must be there."""
     base, inverse = _powers(int(_BASE), len(hashes)), _powers(pow(int(_BASE), -1, 2**64), len(hashes))
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * base, out=sums[1:])
-    return mix64((sums[at + n] - sums[at]) * inverse[at]) if len(at) else np.zeros(0, np.uint64)
+    return mix64((sums[at + n] - sums[at]) * inverse[at] + np.asarray(n).astype(np.uint64)) if len(at) else np.zeros(0, np.uint64)
