@@ -1,19 +1,21 @@
 """Toxicity by compression distance, with two zstandard dictionaries.
 
-Both dictionaries share a base trained on ordinary text; one goes on with ordinary text, the other
-with toxic text, picked by how much more often its character 5-grams occur in toxic documents.  A
-window is a word of the text, three times over behind a carrier that either dictionary holds, so
-that its compressed length is that of the word alone.  A document's windows give a histogram of
-"ordinary length minus toxic length"; a logistic model, fitted on labelled
-texts that the dictionaries were not trained on, calibrates it to a score; of two such halves the better is
-kept.  Dictionaries and calibration come from a bounded sample of labelled rows (``per_label``).
+One dictionary is trained on toxic texts and one on ordinary texts, each behind a base that is trained
+on other ordinary texts, so that the two differ in their own part only.  A window is WINDOW words of
+running text, and its distance is its compressed length with the ordinary dictionary less that with
+the toxic one.  Most of a toxic text is ordinary too, so the toxic dictionary is trained in rounds: each
+half of the toxic texts is measured with a dictionary of the other half, and the windows of the largest
+distance, which hold what toxic texts have in common, are what the next dictionaries are trained on.
+
+A document's windows give a histogram of distances; a logistic model, fitted on labelled texts that the
+dictionaries were not trained on, calibrates how many windows beyond which distance make which score.
+Of FOLDS such splits the one of the least loss is kept.  Dictionaries and calibration come from a bounded
+sample of labelled rows (``per_label``).
 """
 
 from __future__ import annotations
 
-import math
 import random
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,85 +27,83 @@ from pyspark.sql import functions as F
 
 from siltspark.llm.common import crc_mod, map_batches, row_key, slices, table
 
+WINDOW = 4
 STEPS = np.arange(1, 10)
-_CACHE = 200_000
-_LEVEL = 12
+FOLDS = 3
+BASE_BYTES = 60_000
+#: Bytes of the dictionaries' own parts, round by round, and the share of windows that go on to the next round.
+ROUNDS = ((6000, 0.03), (3000, 0.0))
+#: At most so many ordinary windows train a dictionary.
+ORDINARY_WINDOWS = 20_000
+_LEVEL = 15
+_LEAST_PIECES = 400
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
-    d.precompute_compress(level=_LEVEL)
-    return zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+def trained(pieces: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of exactly so many bytes, of segments of about that length; few pieces are repeated."""
+    pieces = [p for p in pieces if len(p) >= 8] or [b"%d" % i * 8 for i in range(_LEAST_PIECES)]
+    pieces = pieces * -(-_LEAST_PIECES // len(pieces))
+    return zstandard.train_dictionary(size, pieces, k=segment, d=8).as_bytes().ljust(size, b"\0")[:size]
 
 
-class Distance(dict):
-    """word -> compressed length under the ordinary dictionary less that under the toxic one."""
+def windows(text: bytes, step: int = WINDOW) -> list[bytes]:
+    """Runs of WINDOW words, begun at every step; a shorter text is one."""
+    words = text.split()
+    return [b" %b " % b" ".join(words[i : i + WINDOW]) for i in range(0, max(1, len(words) - WINDOW + step), step)] if words else []
 
-    def __init__(self, toxic: bytes, ordinary: bytes, carrier: bytes):
-        super().__init__()
-        self.parts = (toxic, ordinary, carrier)
-        self.toxic, self.ordinary, self.carrier = _compressor(toxic).compress, _compressor(ordinary).compress, carrier
 
-    def __reduce__(self):
-        return Distance, self.parts
+class Distance:
+    """Compressed length of windows under the ordinary dictionary less that under the toxic one."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _CACHE:
-            self.clear()
-        window = self.carrier + (b" " + word + b" ") * 3
-        self[word] = d = len(self.ordinary(window)) - len(self.toxic(window))
-        return d
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self.parts = (toxic, ordinary)
+        self.toxic, self.ordinary = (self._compressor(x).compress for x in self.parts)
 
+    @staticmethod
+    def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
+        d.precompute_compress(level=_LEVEL)
+        return zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-def _grams(word: bytes) -> set[bytes]:
-    return {word[i : i + 5] for i in range(max(1, len(word) - 4))}
-
+    def __reduce__(self):
+        return Distance, self.parts
 
-def _word_list(counts: Counter, size: int) -> bytes:
-    """The commonest words, the commonest last, up to so many bytes."""
-    out, total = [], 0
-    for word, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
-        total += len(word) + 1
-        if total > size:
-            break
-        out.append(b" " + word)
-    return b"".join(reversed(out))
+    def __call__(self, windows: list[bytes]) -> np.ndarray:
+        return np.array([len(self.ordinary(w)) - len(self.toxic(w)) for w in windows], np.int64)
 
 
-def train(toxic: list[bytes], ordinary: list[bytes], base_size: int = 16_000, own_size: int = 5_000) -> Distance:
+def train(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
     """The two dictionaries of lower-cased toxic and ordinary texts."""
     shuffle = random.Random(11)
-    pieces = [t[i : i + 200] for t in ordinary for i in range(0, len(t), 200)]
-    shuffle.shuffle(pieces)
-    pieces = pieces[:8000]
-    while 0 < len(pieces) < 400:
-        pieces = pieces * 2
-    base = zstandard.train_dictionary(base_size, pieces or [b"%d" % i * 8 for i in range(4000)], k=64, d=8).as_bytes()
-    in_docs = []
-    for docs in (toxic, ordinary):
-        c: Counter = Counter()
-        for t in docs:
-            c.update({g for w in set(t.split()) for g in _grams(w)})
-        in_docs.append(c)
-    odds = lambda g: math.log((in_docs[0][g] + 0.5) / (len(toxic) + 1)) - math.log((in_docs[1][g] + 0.5) / (len(ordinary) + 1))
-    least = 3 if len(toxic) >= 50 else 2
-    telling = {g for g, n in in_docs[0].items() if n >= least and odds(g) >= 2.5}
-    bad = Counter(w for t in toxic for w in t.split() if not telling.isdisjoint(_grams(w)))
-    plain = Counter(w for t in ordinary for w in t.split())
-    return Distance(base + _word_list(bad, own_size), base + _word_list(plain, own_size), base[-1064:-1000])
+    base_pieces, own = ([w for t in ordinary[k::2] for w in windows(t)] for k in (0, 1))
+    for x in (base_pieces, own):
+        shuffle.shuffle(x)
+    base = trained(base_pieces[:ORDINARY_WINDOWS], BASE_BYTES, 64)
+    halves = [[w for t in toxic[k::2] for w in windows(t, 1)] for k in (0, 1)]
+    chosen = [list(h) for h in halves]
+    for size, share in ROUNDS:
+        plain = base + trained(own[:ORDINARY_WINDOWS], size, 10)
+        if not share:
+            break
+        new = []
+        for h, other in zip(halves, reversed(chosen)):
+            d = Distance(base + trained(other, size, 10), plain)(h)
+            new.append([h[i] for i in np.argsort(-d, kind="stable")[: max(1, int(len(h) * share))]] if h else [])
+        chosen = new
+    return Distance(base + trained(chosen[0] + chosen[1], size, 10), plain)
 
 
 def features(distance: Distance, texts: list[bytes]) -> np.ndarray:
     """Shares and counts of a text's windows by distance."""
     out = np.zeros((len(texts), 2 * len(STEPS) + 1))
     for i, t in enumerate(texts):
-        words = t.split()
-        if words:
-            d = np.bincount(np.clip([distance[w] for w in words], 0, STEPS[-1]), minlength=STEPS[-1] + 1)
+        w = windows(t)
+        if w:
+            d = np.bincount(np.clip(distance(w), 0, STEPS[-1]), minlength=STEPS[-1] + 1)
             over = np.cumsum(d[::-1])[::-1][1:]
-            out[i, : len(STEPS)] = np.sqrt(over / len(words))
+            out[i, : len(STEPS)] = np.sqrt(over / len(w))
             out[i, len(STEPS) : -1] = np.log1p(over)
-            out[i, -1] = math.log1p(len(words))
+            out[i, -1] = np.log1p(len(w))
     return out
 
 
@@ -125,18 +125,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np
 
 
 class Model:
-    """Dictionaries and calibration; without labels of both kinds every score is the share of label 1."""
+    """Dictionaries and calibration; without four labels of each kind nothing is learned and every score is 0.5 at most."""
 
     def __init__(self, toxic: list[bytes], ordinary: list[bytes]):
-        self.prior = len(toxic) / max(1, len(toxic) + len(ordinary))
+        self.prior = min(0.5, len(toxic) / max(1, len(toxic) + len(ordinary)))
         self.distance = None
         if len(toxic) < 4 or len(ordinary) < 4:
             return
         best = np.inf
-        for fold in (0, 1):
+        for fold in range(FOLDS):
             # a dictionary is only used with the calibration that was made for it, on texts it wasn't trained on
-            d = train(toxic[fold::2], ordinary[fold::2])
-            held = (toxic[1 - fold :: 2], ordinary[1 - fold :: 2])
+            d = train(*([t for i, t in enumerate(x) if i % FOLDS != fold] for x in (toxic, ordinary)))
+            held = (toxic[fold::FOLDS], ordinary[fold::FOLDS])
             x, y = np.vstack([features(d, t) for t in held]), np.repeat([1.0, 0.0], [len(t) for t in held])
             weights, bias = fit_logistic(x, y)
             p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))

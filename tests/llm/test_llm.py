@@ -84,16 +84,38 @@ def test_language(spark, docs, none):
 
 
 def test_toxicity_held_out(spark, docs, none):
-    clean = lambda: text(RNG.randint(40, 90))
-    bad = lambda: text(40) + " blorg snarg " + text(10) + " blorgish"
-    rows = [(i, bad() if i % 3 == 0 else clean(), int(i % 3 == 0)) for i in range(360)]
-    model = toxicity.fit(spark.createDataFrame(rows[:240], "key long, text string, toxic int"))
-    got = model.score([t.encode() for _, t, _ in rows[240:]])
-    assert np.mean((got >= 0.5) == np.array([y for _, _, y in rows[240:]])) > 0.9
-    assert toxicity.score(docs, model).count() == len(ROWS) and toxicity.score(none, model).count() == 0
+    rng = random.Random(8)
+    syllables = [a + b for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "un", "er")]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    clean = lambda n: [word() for _ in range(n)]
+    insults = ["blorgish", "snargling", "wretchy", "grumpwort"]
+
+    def bad():
+        x = clean(rng.randint(60, 150))
+        for _ in range(6):
+            x.insert(rng.randrange(len(x)), rng.choice(insults))
+        return x
+
+    rows = [(i, " ".join(bad() if i % 3 == 0 else clean(rng.randint(60, 150))), int(i % 3 == 0)) for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame(rows[:400], "key long, text string, toxic int"))
+    got, want = model.score([t.encode() for _, t, _ in rows[400:]]), np.array([y for _, _, y in rows[400:]])
+    assert ((got >= 0.7) & (want == 1)).sum() >= 0.8 * want.sum() and ((got >= 0.7) & (want == 0)).sum() <= 0.03 * (want == 0).sum()
+    scored = {(r.doc_id, r.text): r.score for r in toxicity.score(docs, model).collect()}
+    assert len(toxicity.score(docs, model).collect()) == len(ROWS) and toxicity.score(none, model).count() == 0
+    assert scored[(4, None)] == scored[(5, "")] == scored[(6, " \t\n")] < 0.7 and all(0 <= x <= 1 for x in scored.values())
+    learned_nothing = toxicity.fit(spark.createDataFrame([(1, "x", 1)], "key long, text string, toxic int"))
+    assert set(learned_nothing.score([b"", b"x"])) == {0.5}  # below the 0.7 of a rejection
     assert set(toxicity.fit(spark.createDataFrame([], "key long, text string, toxic int")).score([b"", b"x"])) == {0.0}
 
 
+def test_toxicity_windows():
+    assert toxicity.windows(b"") == [] and toxicity.windows(b" a  b ") == [b" a b "]
+    assert toxicity.windows(b"a b c d e") == [b" a b c d ", b" e "] and toxicity.windows(b"a b c d e", 1) == [b" a b c d ", b" b c d e "]
+    a, b = (toxicity.trained([b"%s %d" % (w, i * 7919) for i in range(500)], 600, 10) for w in (b"snargling", b"gentle"))
+    w = [b" snargling ", b" gentle ", b" x "]
+    assert len(a) == len(b) == 600 and list(toxicity.Distance(a, b)(w)) == list(-toxicity.Distance(b, a)(w))
+
+
 def brute_contamination(docs, items):
     find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
