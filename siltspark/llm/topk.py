@@ -1,11 +1,16 @@
 """Exact top-k by inner product, with no random access (NRA).
 
-Each dimension of a block of items is a list sorted by value; a query reads it from the end that
-its own sign favours.  After reading every list to some depth, an item's score has a lower bound
-(unread entries at the list's worst value) and an upper bound (unread entries at the value reached).
-Reading stops once few outsiders can still reach the k-th best lower bound; the final scores of
-those left are then resolved exactly.  All queries of a block read the lists together, so that a
-round is a few matrix products.  Blocks are independent; their best k meet in a window per query.
+Each dimension of a block of items is a list sorted by value; a query reads it from the end that its own
+sign favours.  Lists are read in steps, all to the same depth, and every entry read is added to its item's
+sum.  An item's lower bound takes its unread entries at the list's worst value, its upper bound at the
+value that the list has reached.  A query stops once no item outside its k best lower bounds has an upper
+bound that reaches the k-th of them; then the scores of these k are resolved.  Lists that are read out
+give exact sums, so a query that can't stop earlier needs nothing else.  The queries of a batch read
+together and leave it one by one.
+
+Items lie in blocks, and a task holds one block of items and one of queries.  A block of queries is eight
+times as large, as items travel once for each block of queries and queries once for each block of items.
+The blocks' best k meet in a window per query.
 """
 
 from __future__ import annotations
@@ -20,56 +25,81 @@ from pyspark.sql import functions as F
 
 from siltspark.llm.common import table
 
-#: Depths, as shares of the lists, at which the bounds are compared; then the lists are read out.
-DEPTHS = (0.5, 0.75, 0.875)
-#: Outsiders that may be left when reading stops, as a share of the block.
-FEW = 0.15
-BLOCK = 2048
+#: Depths, as shares of the lists, at which the bounds are compared.
+DEPTHS = (0.05, 0.2, 0.4, 0.6, 0.8, 1.0)
+ITEMS, QUERIES, BATCH = 4096, 32_768, 256
 
 
 def _exact_type(queries: np.ndarray, items: np.ndarray) -> type:
-    """The narrowest type in which every inner product is exact."""
-    bound = queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0))
+    """A type in which every sum of products is exact."""
+    bound = 2.0 * queries.shape[1] * float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0))
+    if bound >= 2**62:
+        raise ValueError("inner products beyond 64 bits")
     return np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else np.int64
 
 
-def nra(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query id, item id, score)`` of each query's k best items, ties to the smaller id."""
+class Lists:
+    """The sorted lists of a block of items, one a dimension."""
+
+    def __init__(self, items: np.ndarray):
+        self.n, self.dims = items.shape
+        self.order = np.argsort(items, axis=0, kind="stable")
+        self.values = np.take_along_axis(items, self.order, axis=0)
+        self.least, self.most = self.values[0], self.values[-1]
+
+
+def nra(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, items: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of the query, item id, score)`` of each query's k best items, ties to the smaller id, and the share of the lists that each query read.
+
+    Items with the query's own id take no part.
+    """
     kind = _exact_type(queries, items)
-    q, x, n = queries.astype(kind), items.astype(kind), len(ids)
-    own = query_ids[:, None] == ids[None, :]
-    up, down = np.maximum(q, 0), np.minimum(q, 0)
-    lists = np.sort(x, axis=0)
-    least, most = lists[0], lists[-1]
-    lowest = np.iinfo(kind).min if kind is np.int64 else -np.inf
-    rows = cols = scores = None
-    for depth in DEPTHS if n > 4 * k else ():
-        p = max(1, int(n * depth))
-        top, bottom = lists[n - p], lists[p - 1]
-        lower = up @ np.where(x >= top, x, least).T + down @ np.where(x <= bottom, x, most).T
-        lower[own] = lowest
-        kth = np.partition(lower, n - k, axis=1)[:, n - k]
-        upper = up @ np.maximum(x, top).T + down @ np.minimum(x, bottom).T
-        left = (upper >= kth[:, None]) & ~own
-        if left.mean() <= FEW:
-            rows, cols = np.nonzero(left)
-            scores = np.empty(len(rows), kind)
-            for lo in range(0, len(rows), 1 << 16):
-                s = slice(lo, lo + (1 << 16))
-                scores[s] = np.einsum("ij,ij->i", q[rows[s]], x[cols[s]])
-            break
-    if rows is None:
-        full = q @ x.T
-        full[own] = lowest
-        kth = np.partition(full, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), lowest)
-        rows, cols = np.nonzero((full >= kth[:, None]) & ~own)
-        scores = full[rows, cols]
-    scores = scores.astype(np.int64)
+    lists = Lists(items.astype(kind))
+    read = np.ones(len(queries))
+    found = [_batch(query_ids, queries.astype(kind), ids, lists, items.astype(kind), k, np.arange(lo, min(lo + BATCH, len(queries))), read) for lo in range(0, len(queries), BATCH)]
+    rows, cols, scores = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
     order = np.lexsort((ids[cols], -scores, rows))
-    rows, cols, scores = rows[order], cols[order], scores[order]
-    rank = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    keep = rank < k
-    return query_ids[rows[keep]], ids[cols[keep]], scores[keep]
+    rows, cols, scores = rows[order], cols[order], scores[order].astype(np.int64)
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[cols[keep]], scores[keep], read
+
+
+def _batch(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, lists: Lists, items: np.ndarray, k: int, live: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of queries and items, with scores, that hold the k best of each live query."""
+    n, kind = lists.n, items.dtype
+    lowest = np.iinfo(np.int64).min if kind == np.int64 else -np.inf
+    up, down = np.maximum(queries[live], 0), np.minimum(queries[live], 0)  # which end of a list a query reads
+    sums = np.zeros((len(live), n), kind)
+    unread_top, unread_bottom = np.ones(items.shape, kind), np.ones(items.shape, kind)
+    column = np.arange(lists.dims)
+    out, at = [], 0
+    for depth in DEPTHS:
+        to = min(n, max(at + 1, int(np.ceil(n * depth))))
+        for ends, weight, unread in ((slice(n - to, n - at), up, unread_top), (slice(at, to), down, unread_bottom)):
+            entries = np.zeros(items.shape, kind)
+            entries[lists.order[ends], column] = lists.values[ends]
+            unread[lists.order[ends], column] = 0
+            sums += weight @ entries.T
+        at = to
+        own = query_ids[live][:, None] == ids[None, :]
+        if at == n:
+            lower = upper = np.where(own, lowest, sums)
+        else:
+            bound = lambda top, bottom: sums + (up * top) @ unread_top.T + (down * bottom) @ unread_bottom.T
+            lower, upper = bound(lists.least, lists.most), bound(lists.values[n - at], lists.values[at - 1])
+            lower[own] = upper[own] = lowest
+        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(live), lowest)
+        may = (upper >= kth[:, None]) & ~own  # ties with the k-th are kept until the sums are exact
+        done = np.full(len(live), True) if at == n else may.sum(axis=1) <= k
+        for q in np.flatnonzero(done):
+            cols = np.flatnonzero(may[q])
+            out.append((np.full(len(cols), live[q]), cols, sums[q, cols] if at == n else items[cols] @ queries[live[q]]))
+            read[live[q]] = at / n
+        stay = ~done
+        if not stay.any():
+            break
+        live, up, down, sums = live[stay], up[stay], down[stay], sums[stay]
+    return tuple(np.concatenate(x) for x in zip(*out))
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -79,35 +109,33 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _block_topk(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def run(queries: pa.Table, items: pa.Table) -> pa.Table:
-        if queries.num_rows and items.num_rows:
-            got = nra(*_matrix(queries), *_matrix(items), k)
-        else:
-            got = (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": got[0], "vec_id": got[1], "score": got[2]})
+        if not queries.num_rows or not items.num_rows:
+            return pa.table({"q": np.zeros(0, np.int64), "query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        query_ids, vectors = _matrix(queries)
+        rows, ids, scores, _ = nra(query_ids, vectors, *_matrix(items), k)
+        return pa.table({"q": queries.column("q").to_numpy()[rows], "query_id": query_ids[rows], "vec_id": ids, "score": scores})
 
     return run
 
 
-def topk_inner_product(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+def topk_inner_product(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Each query's k items of the highest inner product: query_id, rank (from 1), vec_id, score.
 
     queries, items: ``id long, vec array<long>``; other columns are ignored.  Ties go to the smaller
     id, and an item with the query's own id is never returned.  Rows with a null id, a null vector or
-    a null component take no part; a repeated id counts once.  Only vectors of equal length meet.
-    Empty inputs give no rows.  A task holds one block of queries and one of items, never more.
+    a null component take no part.  Repeated items are each an item; queries that repeat id and vector
+    are one query, and of queries that share an id only each has its own ranks.  Only vectors of equal
+    length meet.  Empty inputs give no rows.  A task holds one block of queries and one of items.
     """
-
-    def blocks(df: DataFrame) -> tuple[DataFrame, int]:
-        df = df.select("id", "vec").where("id is not null and size(vec) > 0 and not exists(vec, x -> x is null)").dropDuplicates(["id"])
-        return df, max(1, -(-df.count() // block))
-
-    (queries, n_q), (items, n_i) = blocks(queries), blocks(items)
-    number = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
+    good = "id is not null and size(vec) > 0 and not exists(vec, x -> x is null)"
+    queries = queries.select("id", "vec").where(good).distinct().withColumn("q", F.xxhash64("id", "vec"))
+    items = items.select("id", "vec").where(good).withColumn("no", F.monotonically_increasing_id())
+    n_q, n_i = max(1, -(-queries.count() // QUERIES)), max(1, -(-items.count() // ITEMS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("id", "vec", F.size("vec").alias("d"), number(n_q, 1).alias("qb"), every(n_i).alias("ib"))
-    right = items.select("id", "vec", F.size("vec").alias("d"), number(n_i, 2).alias("ib"), every(n_q).alias("qb"))
-    found = left.groupBy("qb", "ib", "d").cogroup(right.groupBy("qb", "ib", "d")).applyInArrow(_block_topk(k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    left = queries.select("q", "id", "vec", F.size("vec").alias("d"), F.pmod("q", F.lit(n_q)).cast("int").alias("qb"), every(n_i).alias("ib"))
+    right = items.select("id", "vec", F.size("vec").alias("d"), F.pmod(F.xxhash64("no"), F.lit(n_i)).cast("int").alias("ib"), every(n_q).alias("qb"))
+    found = left.groupBy("qb", "ib", "d").cogroup(right.groupBy("qb", "ib", "d")).applyInArrow(_block_topk(k), "q long, query_id long, vec_id long, score long")
+    best = W.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -56,18 +56,53 @@ def test_hash_words_is_of_the_words():
     assert (unpacked(packed(a), np.uint64, 1000) == a).all()
 
 
-def test_topk(spark):
+def test_topk(spark, monkeypatch):
+    monkeypatch.setattr(topk, "ITEMS", 128)
+    monkeypatch.setattr(topk, "QUERIES", 16)
     rng = np.random.default_rng(3)
-    x = rng.integers(-30, 30, (600, 8))
-    rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)] + [(5, [int(v) for v in x[5]]), (None, [1] * 8), (900, None), (901, [None] * 8), (902, [1])]
-    items = spark.createDataFrame(rows, "id long, vec array<long>")
+    x = rng.integers(-3, 4, (600, 8))  # many ties
+    rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)] + [(20, [int(v) for v in x[20]]), (7, [3] * 8), (7, [3] * 8), (None, [1] * 8), (900, None), (901, [None] * 8), (902, [1]), (20, [1])]
+    items = spark.createDataFrame(rows, "id long, vec array<long>").repartition(3)
     got = {}
-    for r in topk.topk_inner_product(items.where("id % 20 = 0"), items, 7, block=128).collect():
+    for r in topk.topk_inner_product(items.where("id % 20 = 0"), items, 7).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    everyone = [(i, v) for i, v in rows if i is not None and v and None not in v]
     for q in range(0, 600, 20):
-        want = sorted(((-int(x[q] @ x[i]), i) for i in range(600) if i != q))[:7]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
-    assert topk.topk_inner_product(items.limit(0), items, 3).count() == 0
+        want = []
+        for vec in {tuple(v) for i, v in everyone if i == q}:
+            scored = sorted((-sum(a * b for a, b in zip(vec, v)), i) for i, v in everyone if i != q and len(v) == len(vec))[:7]
+            want += [(k + 1, i, -s) for k, (s, i) in enumerate(scored)]
+        assert sorted(got[q]) == sorted(want)
+    assert topk.topk_inner_product(items.limit(0), items, 3).count() == topk.topk_inner_product(items, items.limit(0), 3).count() == 0
+
+
+def test_nra_stops_early_and_is_exact():
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.standard_normal((1500, 4)) ** 5 * 50).astype(np.int64)  # few items lead their lists
+    q, ids = x[:70], np.arange(1500)[::-1].copy()
+    rows, found, scores, read = topk.nra(ids[:70], q, ids, x, 5)
+    full = q @ x.T
+    for i in range(70):
+        want = sorted((-x, j) for x, j in zip(full[i], ids) if j != ids[i])[:5]
+        assert list(zip(-scores[rows == i], found[rows == i])) == want
+    assert read.min() <= 0.2 and (read < 1).mean() >= 0.3
+    big = np.full((3, 2), 2**29)
+    assert topk.nra(np.array([9]), big[:1], np.arange(3), big, 2)[2].tolist() == [2**59, 2**59]
+    with pytest.raises(ValueError):
+        topk.nra(np.array([9]), big[:1] * 4, np.arange(3), big, 2)
+
+
+def test_op1_leaves_out_what_is_not_finite(spark, tmp_path):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.5]), (1, [0.25, 1.0]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, None), (5, [None, 1.0]), (20, [-1.0, 2.0]), (40, [nan, 1.0]), (6, [0.25, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, topk.op1_exact_topk(spark, str(tmp_path)).collect()))
+    v = {i: [int(np.floor(64 * a)) for a in e] for i, e in rows if i in (0, 1, 6, 20)}
+    want = []
+    for q in (0, 20):
+        s = sorted((-(v[q][0] * v[i][0] + v[q][1] * v[i][1]), i) for i in v if i != q)
+        want += [(q, k + 1, i, -x) for k, (x, i) in enumerate(s)]
+    assert got == want
 
 
 def test_language(spark, docs, none):
