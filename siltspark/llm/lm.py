@@ -4,11 +4,16 @@ P(w | h) = a * c(h, w) / c(h) + b * c(w) / N + c / (V + 1), with weights (a, b,
 how often the context h occurs.  The weights are learned by expectation-maximisation on a held-out
 fold of the training documents, each of whose tokens is deleted from the counts it is judged by.
 
-Texts are cut into chunks of bounded size.  A chunk asks for the corpus counts of its distinct
-n-grams: it sends their hashed keys, packed and split by key range, together with its own training
-counts; each key range sums them over all chunks and answers every chunk.  So an n-gram travels once
-for each chunk that holds it, a frequent one meets at most one row per chunk, and no count table
-ever goes to one place.
+Texts are cut into chunks of bounded size.  A chunk asks for the corpus counts of its distinct n-grams by
+their hashed keys, together with its own training counts.  Keys lie in as many ranges as there are chunks,
+and messages from every chunk to every range would be too many, so they travel by way of a grid: a chunk
+sends to each coarse range of the keys, and a node of the grid, one coarse range of one group of chunks,
+adds up what its chunks sent and asks the fine ranges of it; answers go back the same way.  Chunks, nodes
+and fine ranges have about the same size, the messages are chunks times the root of chunks, and an n-gram
+that is frequent meets at most one row a group.  No count table ever goes to one place.
+
+Expectation-maximisation runs over counted cells: shares are rounded to quarters of log2, so that held-out
+tokens of any number make a bounded table.  Scores use the exact shares.
 """
 
 from __future__ import annotations
@@ -98,47 +103,99 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bool, pa.T
             yield cut(fold)
 
 
-def _requests(key_bits: int, ranges: int):
+def _range(keys: np.ndarray, bits: int, ranges: int) -> np.ndarray:
+    """The range of each key, by its top bits; keys ascend, so do ranges."""
+    return ((keys >> _U(bits - 32)) * _U(ranges) >> _U(32)).astype(np.int64)
+
+
+def _split(keys: np.ndarray, ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
+    edges = np.flatnonzero(np.diff(ranges, prepend=-1))
+    for lo, hi in zip(edges, [*edges[1:], len(keys)]):
+        yield int(ranges[lo]), slice(lo, hi)
+
+
+def _requests(key_bits: int, coarse: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, fold, rows in _chunks(batches):
             c = Chunk(rows.column("text"), key_bits)
             out: list[tuple] = []
+            group = int(mix64(np.array([chunk], np.uint64))[0] % _U(coarse))
             for kind, keys, counts, bits in zip((0, 1), (c.words, c.pairs), c.counts(rows.column("train").to_numpy()), (64, key_bits)):
-                top = (keys >> _U(bits - 32)).astype(np.uint64) * _U(ranges) >> _U(32)
-                edges = np.searchsorted(top, np.arange(ranges + 1, dtype=np.uint64))
-                for r in np.flatnonzero(np.diff(edges)):
-                    k, n = keys[edges[r] : edges[r + 1]], counts[edges[r] : edges[r + 1]]
-                    out.append((int(r), chunk, fold, kind, len(k), packed(np.diff(k, prepend=_U(0))), packed(n)))
+                for r, some in _split(keys, _range(keys, bits, coarse)):
+                    out.append((r, group, chunk, fold, kind, some.stop - some.start, packed(np.diff(keys[some], prepend=_U(0))), packed(counts[some])))
             for lo in range(0, len(out), 256):
-                yield pa.RecordBatch.from_pylist([dict(zip(("range", "chunk", "fold", "kind", "n", "keys", "counts"), x)) for x in out[lo : lo + 256]], _REQUEST)
+                yield pa.RecordBatch.from_pylist([dict(zip(_REQUEST.names, x)) for x in out[lo : lo + 256]], _REQUEST)
 
     return run
 
 
-_REQUEST = pa.schema([("range", pa.int32()), ("chunk", pa.int64()), ("fold", pa.bool_()), ("kind", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_REQUEST = pa.schema([("coarse", pa.int32()), ("grp", pa.int32()), ("chunk", pa.int64()), ("fold", pa.bool_()), ("kind", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_ASKED = pa.schema([("range", pa.int64()), ("coarse", pa.int32()), ("grp", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+_TOTAL = pa.schema([("coarse", pa.int32()), ("grp", pa.int32()), ("range", pa.int64()), ("kind", pa.int32()), ("n", pa.int32()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
+_ANSWER = pa.schema([("chunk", pa.int64()), ("fold", pa.bool_()), ("range", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("counts", pa.binary())])
+
+
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {({'int64': 'long', 'int32': 'int', 'bool': 'boolean'}).get(str(f.type), f.type)}" for f in schema)
+
+
+def _keys(asked: list[dict]) -> np.ndarray:
+    return np.concatenate([np.cumsum(unpacked(x["keys"], np.uint64, x["n"]), dtype=np.uint64) for x in asked])
+
+
+def _added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, their summed 64-bit counts, and where each key is among them."""
+    distinct, at = np.unique(keys, return_inverse=True)
+    total = np.zeros(len(distinct), np.int64)
+    np.add.at(total, at, counts)
+    return distinct, total, at
 
 
-def _answers(t: pa.Table) -> pa.Table:
-    """The total counts of one key range, for each request of it; types and tokens: of the range, on one row."""
+def _node(key_bits: int, coarse: int, fine: int):
+    """What a node of the grid asks of the fine ranges: its chunks' keys, each once, with their summed counts."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = []
+        for kind, bits in ((0, 64), (1, key_bits)):
+            asked = [x for x in t.to_pylist() if x["kind"] == kind]
+            if asked:
+                keys, total, _ = _added(_keys(asked), np.concatenate([unpacked(x["counts"], np.uint32, x["n"]) for x in asked]))
+                for r, some in _split(keys, _range(keys, bits, coarse * fine)):
+                    out.append((r, asked[0]["coarse"], asked[0]["grp"], kind, some.stop - some.start, packed(np.diff(keys[some], prepend=_U(0))), packed(total[some])))
+        return pa.Table.from_pylist([dict(zip(_ASKED.names, x)) for x in out], _ASKED)
+
+    return run
+
+
+def _totals(t: pa.Table) -> pa.Table:
+    """The total counts of one fine range, for each node; types and tokens: of the range, on one row."""
     out = []
     for kind in (0, 1):
         asked = [x for x in t.to_pylist() if x["kind"] == kind]
         if not asked:
             continue
-        keys = np.concatenate([np.cumsum(unpacked(x["keys"], np.uint64, x["n"]), dtype=np.uint64) for x in asked])
-        counts = np.concatenate([unpacked(x["counts"], np.uint32, x["n"]) for x in asked])
-        distinct, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, weights=counts, minlength=len(distinct)).astype(np.uint32)
+        _, total, at = _added(_keys(asked), np.concatenate([unpacked(x["counts"], np.int64, x["n"]) for x in asked]))
         lo = 0
         for k, x in enumerate(asked):
             sums = (int((total > 0).sum()), int(total.sum())) if k == 0 and kind == 0 else (0, 0)
-            out.append((x["chunk"], x["fold"], x["range"], kind, x["n"], packed(total[at[lo : lo + x["n"]]]), *sums))
+            out.append((x["coarse"], x["grp"], x["range"], kind, x["n"], packed(total[at[lo : lo + x["n"]]]), *sums))
             lo += x["n"]
-    return pa.Table.from_pylist([dict(zip(_ANSWER.names, x)) for x in out], _ANSWER)
+    return pa.Table.from_pylist([dict(zip(_TOTAL.names, x)) for x in out], _TOTAL)
 
 
-_ANSWER = pa.schema([("chunk", pa.int64()), ("fold", pa.bool_()), ("range", pa.int32()), ("kind", pa.int32()), ("n", pa.int32()), ("counts", pa.binary()), ("types", pa.int64()), ("tokens", pa.int64())])
-_ANSWER_SQL = "chunk long, fold boolean, range int, kind int, n int, counts binary, types long, tokens long"
+def _answers(asked: pa.Table, totals: pa.Table) -> pa.Table:
+    """What a node of the grid answers its chunks."""
+    out = []
+    totals = sorted(totals.select(["kind", "range", "n", "counts"]).to_pylist(), key=lambda x: (x["kind"], x["range"]))
+    for kind in (0, 1):
+        mine = [x for x in asked.to_pylist() if x["kind"] == kind]
+        if mine:
+            keys = [_keys([x]) for x in mine]
+            distinct = np.unique(np.concatenate(keys))
+            total = np.concatenate([unpacked(x["counts"], np.int64, x["n"]) for x in totals if x["kind"] == kind])
+            for x, k in zip(mine, keys):
+                out.append((x["chunk"], x["fold"], x["coarse"], kind, x["n"], packed(total[np.searchsorted(distinct, k)])))
+    return pa.Table.from_pylist([dict(zip(_ANSWER.names, x)) for x in out], _ANSWER)
 
 
 def _texts(fold_only: bool):
@@ -159,7 +216,7 @@ def _with_counts(texts: pa.Table, answers: pa.Table, key_bits: int) -> Iterator[
         rows = pa.ipc.open_stream(blob).read_all()
         c = Chunk(rows.column("text"), key_bits)
         got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["range"]))
-        counts = [np.concatenate([np.zeros(0, np.uint32)] + [unpacked(x["counts"], np.uint32, x["n"]) for x in got if x["kind"] == kind]).astype(np.int64) for kind in (0, 1)]
+        counts = [np.concatenate([np.zeros(0, np.int64)] + [unpacked(x["counts"], np.int64, x["n"]) for x in got if x["kind"] == kind]) for kind in (0, 1)]
         if (len(counts[0]), len(counts[1])) != (len(c.words), len(c.pairs)):
             raise ValueError("a chunk of documents was cut in another way than before")
         yield rows, c, counts
@@ -180,7 +237,7 @@ def bucket(context: np.ndarray) -> np.ndarray:
 
 
 def _share(n: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Quarters of log2(n / of), _NONE for 0."""
+    """Quarters of log2(n / of), rounded; _NONE for 0."""
     return np.where((n > 0) & (of > 0), np.round(4 * np.log2(np.maximum(n, 1) / np.maximum(of, 1))), _NONE).astype(np.int64)
 
 
@@ -260,13 +317,15 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     tokens = max(2, (size.b or 0) + size.n)  # at least as many as there are
     key_bits = min(64, max(40, int(np.ceil(np.log2(tokens))) + SPARE_BITS))
-    ranges = max(8, -(-tokens // CHUNK_BYTES))
+    coarse = int(np.ceil(np.sqrt(max(8, -(-tokens // CHUNK_BYTES)))))  # fine ranges of each coarse one, and groups of chunks, are as many
     folder = work_dir(docs.sparkSession)
-    asked = docs.mapInArrow(_requests(key_bits, ranges), "range int, chunk long, fold boolean, kind int, n int, keys binary, counts binary")
-    answers = saved(asked.groupBy("range").applyInArrow(_answers, _ANSWER_SQL), folder, "answers")
-    whole = answers.agg(F.sum("types"), F.sum("tokens")).first()
+    asked = saved(docs.mapInArrow(_requests(key_bits, coarse), _sql(_REQUEST)), folder, "asked")
+    wanted = asked.groupBy("coarse", "grp").applyInArrow(_node(key_bits, coarse, coarse), _sql(_ASKED))
+    totals = saved(wanted.groupBy("range").applyInArrow(_totals, _sql(_TOTAL)), folder, "totals")
+    whole = totals.agg(F.sum("types"), F.sum("tokens")).first()
     types, total = whole[0] or 0, whole[1] or 0
-    answers = answers.select("chunk", "fold", "range", "kind", "n", "counts")
+    answers = asked.select("coarse", "grp", "chunk", "fold", "kind", "n", "keys").groupBy("coarse", "grp").cogroup(totals.select("coarse", "grp", "range", "kind", "n", "counts").groupBy("coarse", "grp"))
+    answers = saved(answers.applyInArrow(_answers, _sql(_ANSWER)), folder, "answers")
     held = docs.mapInArrow(_texts(True), "chunk long, rows binary").groupBy("chunk").cogroup(answers.where("fold").groupBy("chunk"))
     cells = held.applyInArrow(_cells(key_bits, total), "bucket long, two long, one long, n long")
     weights = learn_weights([tuple(r) for r in cells.groupBy("bucket", "two", "one").agg(F.sum("n").alias("n")).collect()], types)

@@ -224,22 +224,56 @@ def test_packing(docs, none):
     assert packing.pack(none, path).count() == 0
 
 
-def test_lm(spark, none):
-    rows = [(i, text(30) if i % 5 else None, i % 3 != 2, i % 3 == 1) for i in range(90)]
-    docs = spark.createDataFrame([(*r, not r[2]) for r in rows], "doc_id long, text string, train boolean, fold boolean, held_out boolean")
-    count = {}
-    for _, t, train, _ in rows:
-        for w in [*(t or "").split(), None] if train else []:
-            count[w] = count.get(w, 0) + 1
-    n, v = sum(count.values()), len(count)
+def brute_lm(rows):
+    """base_score and score of ``(id, text, train, fold)`` rows by plain counting."""
+    words = {i: (t or "").lower().split() + ["</s>"] for i, t, _, _ in rows}
+    one, two = {}, {}
+    for i, _, train, _ in rows:
+        for h, w in zip(["<s>", *words[i]], words[i]) if train else []:
+            one[w], two[(h, w)] = one.get(w, 0) + 1, two.get((h, w), 0) + 1
+    n, v = sum(one.values()), len(one)
+    seen = lambda h: one.get("</s>" if h == "<s>" else h, 0)
+    bucket = lambda c: int(np.floor(np.log2(c))) + 1 if c > 0 else 0
+    share = lambda c, of: int(np.round(4 * np.log2(c / of))) if c > 0 and of > 0 else -1000
+    cells = {}
+    for i, _, train, fold in rows:
+        for h, w in zip(["<s>", *words[i]], words[i]) if train and fold else []:
+            x = (bucket(seen(h) - 1), share(two[(h, w)] - 1, seen(h) - 1), share(one[w] - 1, max(1, n - 1)))
+            cells[x] = cells.get(x, 0) + 1
+    weights = lm.learn_weights([(*x, k) for x, k in cells.items()], v)
+    base, score = {}, {}
+    for i in words:
+        base[i] = sum(np.log10((one.get(w, 0) + 1) / (n + v + 1)) for w in words[i])
+        p = 0.0
+        for h, w in zip(["<s>", *words[i]], words[i]):
+            a, b, c = weights[bucket(seen(h))]
+            p += np.log10(a * two.get((h, w), 0) / max(1, seen(h)) + b * one.get(w, 0) / max(1, n) + c / (v + 1))
+        score[i] = p
+    return one, n, base, score
+
+
+def test_lm(spark, none, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 3000)  # several chunks, groups and ranges
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(WORDS[: 5 + i]) for _ in range(rng.randrange(1, 60))) if i % 9 else None, i % 3 != 2, i % 3 == 1) for i in range(150)]
+    docs = spark.createDataFrame([(*r, not r[2]) for r in rows], "doc_id long, text string, train boolean, fold boolean, held_out boolean").repartition(5)
+    count, n, base, score = brute_lm(rows)
     got = {r.doc_id: r for r in lm.lm_scores(docs).collect()}
+    assert len(got) == len(rows)
     for i, t, _, _ in rows:
-        tokens = [*(t or "").split(), None]
-        base = sum(np.log10((count.get(w, 0) + 1) / (n + v + 1)) for w in tokens)
+        tokens = [*(t or "").lower().split(), "</s>"]
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(w in count for w in tokens), n)
-        assert abs(got[i].base_score - base) < 1e-6 and got[i].score < 0
+        assert abs(got[i].base_score - base[i]) < 1e-6 and abs(got[i].score - score[i]) < 1e-6
     empty = docs.limit(0)
-    assert lm.lm_scores(empty).count() == 0 and lm.lm_scores(docs.withColumn("train", F.lit(None).cast("boolean"))).count() == 90
+    assert lm.lm_scores(empty).count() == 0 and lm.lm_scores(docs.withColumn("train", F.lit(None).cast("boolean"))).count() == 150
+
+
+def test_counts_beyond_32_bits():
+    keys = np.array([5, 9], np.uint64)
+    row = {"range": 0, "coarse": 0, "grp": 0, "kind": 0, "n": 2, "keys": packed(np.diff(keys, prepend=np.uint64(0))), "counts": packed(np.array([2**40, 1], np.int64))}
+    t = pa.Table.from_pylist([row, row | {"grp": 1}], lm._ASKED)
+    got = lm._totals(t).to_pylist()
+    assert [unpacked(x["counts"], np.int64, 2).tolist() for x in got] == [[2**41, 2]] * 2 and got[0]["tokens"] == 2**41 + 2
 
 
 def test_near_duplicates(spark, docs, none):
