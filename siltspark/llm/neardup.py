@@ -2,11 +2,11 @@
 
 1. Each document's distinct 3-word shingles give a set digest and a MinHash signature.  Documents
    with equal sets are one class; a class goes on as one row.
-2. Every tree of the forest sorts all classes by its own order of all the signature's values.  Rows
-   next to one another share the longest common prefixes: a row and its next few neighbours are
-   candidates as deep as they agree, so dense regions are compared at greater depth than sparse ones.
-   The outer rows of each sorted partition meet those of the next in a step of their own.
-   Candidates whose signatures agree well enough form loose groups.
+2. Every tree of the forest sorts all classes by its own order of all the signature's values.  Each
+   region has a depth of its own: the least number of first values that no more than REGION rows share.
+   All rows of such a region are candidates, as are a row and its next NEIGHBOURS, which share the longest
+   common prefixes, in whatever region.  The outer rows of each sorted partition meet those of the next in
+   a step of their own.  Candidates whose signatures agree well enough form loose groups.
 3. Inside a loose group all links are confirmed on full sets.  A group beyond BLOCK classes is cut
    into blocks, and each pair of blocks is one task; a task returns edges that connect what its
    links connect, never all its pairs.
@@ -29,6 +29,7 @@ from siltspark.llm.words import distinct_per_row, hash_words, mix64, shingles
 VALUES = 64
 TREES = 12
 NEIGHBOURS = 3
+REGION = 16
 BLOCK = 512
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 _ORDERS = np.array([np.random.default_rng(500 + t).permutation(VALUES) for t in range(TREES)])
@@ -79,8 +80,30 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sig), t, np.int32)), pa.array(keys, pa.binary()), batch.column(0)], ["tree", "key", "node"])
 
 
+def regions(tree: np.ndarray, sig: np.ndarray, most: int = REGION) -> np.ndarray:
+    """A number for each of the sorted rows: those of one number share as many first values as needed for no more than most rows to do so.
+
+    Rows of equal signatures stay together, however many they are.
+    """
+    n = len(tree)
+    if n < 2:
+        return np.zeros(n, np.int64)
+    differ = sig[1:] != sig[:-1]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), sig.shape[1])
+    shared[tree[1:] != tree[:-1]] = -1
+    out, open_ = np.zeros(n, np.int64), np.ones(n, bool)
+    for depth in range(1, sig.shape[1] + 1):
+        run = np.concatenate([[0], np.cumsum(shared < depth)])
+        settled = open_ & ((np.bincount(run)[run] <= most) | (depth == sig.shape[1]))
+        out[settled] = depth * n + run[settled]
+        open_ &= ~settled
+        if not open_.any():
+            break
+    return out
+
+
 def _neighbours(least: float):
-    """Star edges between neighbours in a tree's order; a run of rows is seen with the end of the last one.
+    """Star edges between candidates in a tree's order; a run of rows is seen with the end of the last one.
 
     A partition's first and last NEIGHBOURS rows are given as well, as ``u, tree, key`` without v.
     """
@@ -97,20 +120,23 @@ def _neighbours(least: float):
                 begun += len(node)
             if tail is not None:
                 tree, node, sig = np.concatenate([tail[0], tree]), np.concatenate([tail[1], node]), np.vstack([tail[2], sig])
-            u, v = [], []
-            for step in range(1, min(NEIGHBOURS, len(node) - 1) + 1):
-                at = np.flatnonzero((tree[step:] == tree[:-step]) & (sig[step:, 0] == sig[:-step, 0]))
+            u, v, region = [], [], regions(tree, sig)
+            for step in range(1, min(REGION, len(node))):
+                meet = region[step:] == region[:-step]
+                if step <= NEIGHBOURS:
+                    meet |= (tree[step:] == tree[:-step]) & (sig[step:, 0] == sig[:-step, 0])
+                at = np.flatnonzero(meet)
                 at = at[(sig[at] == sig[at + step]).mean(axis=1) >= least]
                 u.append(node[at])
                 v.append(node[at + step])
-            tail = (tree[-NEIGHBOURS:], node[-NEIGHBOURS:], sig[-NEIGHBOURS:])
+            tail = (tree[-REGION:], node[-REGION:], sig[-REGION:])
             if u:
                 u, v = spanning(np.concatenate(u), np.concatenate(v))
                 if len(u):
                     none = [pa.nulls(len(u), pa.int32()), pa.nulls(len(u), pa.binary())]
                     yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), *none], ["u", "v", "tree", "key"])
         if tail is not None:
-            yield border(*tail)
+            yield border(*(x[-NEIGHBOURS:] for x in tail))
 
     def border(tree: np.ndarray, node: np.ndarray, sig: np.ndarray) -> pa.RecordBatch:
         keys = pa.array([s.tobytes() for s in sig], pa.binary())

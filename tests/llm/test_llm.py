@@ -342,6 +342,31 @@ def test_forest_rows_meet_over_partition_borders(spark, tmp_path):
     assert set(linked(spark, forest, 12, tmp_path)) == set(range(12)) and set(linked(spark, forest, 12, tmp_path / "b").values()) == {0}
 
 
+def test_regions_are_as_deep_as_they_are_dense():
+    rng = np.random.default_rng(6)
+    dense = rng.integers(0, 3, (200, 64))
+    dense[:, 0] = 9
+    rows = np.vstack([rng.integers(10, 1 << 16, (50, 64)), dense, np.tile(dense[:1], (40, 1))]).astype(np.uint16)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    got = neardup.regions(np.zeros(len(rows), int), rows, 16)
+    depth = {r: next(d for d in range(1, 65) if d == 64 or len({tuple(x) for x in rows[:, :d]}) and (rows[:, :d] == rows[np.flatnonzero(got == r)[0], :d]).all(1).sum() <= 16) for r in set(got)}
+    for r, d in depth.items():
+        mine = np.flatnonzero(got == r)
+        assert (rows[mine, :d] == rows[mine[0], :d]).all() and (len(mine) <= 16 or d == 64)
+    assert min(depth.values()) == 1 and max(depth.values()) == 64 and len(set(depth.values())) > 2
+
+
+def test_a_region_meets_whole(spark, tmp_path):
+    # 12 rows share a tree's first value; the first and the last, eleven rows apart, agree in most of the others
+    rng = np.random.default_rng(9)
+    order = neardup._ORDERS[0]
+    sigs = rng.integers(0, 1 << 15, (12, 64))
+    sigs[:, order[1]] = np.arange(12)
+    sigs[11, order[2:]] = sigs[0, order[2:]]
+    sigs[:, order[0]] = 7
+    assert linked(spark, forest_of(spark, enumerate(sigs)).where("tree = 0"), 1, tmp_path) == {0: 0, 11: 0}
+
+
 def test_components(spark, tmp_path):
     u, v = spanning(np.array([5, 3, 9, 1]), np.array([3, 4, 8, 1]))
     assert sorted(zip(u, v)) == [(4, 3), (5, 3), (9, 8)]
