@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltspark.llm.common import BROADCAST_ROWS, ascii_lower, row_key, table
+from siltspark.llm.common import BROADCAST_ROWS, ascii_lower, fresh, table
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -22,8 +22,8 @@ def words(text: Column) -> Column:
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """``window array<string>, items array<string>``: the distinct windows and the items that hold each."""
-    w = items.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
+    """``window array<string>, items array<string>``: the distinct windows and the items that hold each; an item without an id has windows, but no name."""
+    w = items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("w")).where("size(w) > 0")
     starts = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1))))
     each = w.select("item", "w", starts.alias("s")).select("item", F.slice("w", F.col("s"), size).alias("window"))
     return each.groupBy("window").agg(F.collect_set("item").alias("items"))
@@ -93,10 +93,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFram
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
-    """docs, all columns, without the contaminated ones."""
-    bad = contamination(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64("text")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (key == bad["_key"]), "left_anti")
+    """docs, all columns whatever their names, without the contaminated ones."""
+    doc, key = fresh(docs, "_id"), fresh(docs, "_key")
+    bad = contamination(docs, items, size).where("contaminated").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[doc]) & (F.xxhash64(docs["text"]) == bad[key]), "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +119,7 @@ dw AS (SELECT r, m, s, array_to_string(w[s : s + m - 1], ' ') AS win
        FROM (SELECT r, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM d, sizes WHERE len(w) >= m)),
 hit AS (SELECT r, s, dw.m AS m, item FROM dw JOIN iw ON dw.win = iw.win AND dw.m = iw.m),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + m)) AS p FROM hit) GROUP BY r),
-its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+its AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN its USING (r)

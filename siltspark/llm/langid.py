@@ -172,7 +172,10 @@ def fit(labelled: DataFrame, per_language: int = 300) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``lang_pred string, score double``; ``und`` and 0 where the text is null or has no letter."""
+    """docs with ``lang_pred string, score double``; ``und`` and 0 where the text is null or has no letter.
+
+    Columns of docs with these two names are replaced.
+    """
     plain = docs.drop("lang_pred", "score")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltspark.llm.common import row_key, saved, slices, table, work_dir
+from siltspark.llm.common import fresh, row_key, saved, slices, table, work_dir
 from siltspark.llm.components import components, spanning
 from siltspark.llm.words import distinct_per_row, hash_words, mix64, shingles
 
@@ -254,9 +254,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs, all columns, with one document of each group of near-duplicates."""
-    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("kept").select(F.col("row_key").alias("_key")).distinct()
-    return docs.withColumn("_row", row_key("doc_id", "text")).join(kept, F.col("_row") == F.col("_key"), "left_semi").drop("_row")
+    """docs, all columns whatever their names, with one document of each group of near-duplicates."""
+    row, key = fresh(docs, "_row"), fresh(docs, "_key")
+    kept = near_duplicates(docs.select("doc_id", "text"), percent).where("kept").select(F.col("row_key").alias(key)).distinct()
+    return docs.withColumn(row, row_key("doc_id", "text")).join(kept, F.col(row) == F.col(key), "left_semi").drop(row)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,7 +165,7 @@ def fit(labelled: DataFrame, per_label: int = 1500) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``score double``: the calibrated chance of label 1; a null text counts as empty."""
+    """docs with ``score double``: the calibrated chance of label 1; a null text counts as empty, a column score of docs is replaced."""
     plain = docs.drop("score")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -82,7 +82,8 @@ def judge(pages: DataFrame, redirects: DataFrame | None = None, rules: tuple[tup
 
     redirects: further edges, as URLs ``source, target``.  A page without a rule is blocked if its
     component has a blocked member, page or mere target, and no allowed one; else allowed.  A null
-    url, or one without ://, has an empty host and path and no aliases.  Repeated rows are judged alike.
+    url, or one without ://, has an empty host and path and no aliases.  Columns of pages with the names of
+    the four new ones are replaced.  Repeated rows are judged alike.
     """
     folder = work_dir(pages.sparkSession)
     edges = alias_edges(pages, folder)

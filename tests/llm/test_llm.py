@@ -163,7 +163,7 @@ def brute_contamination(docs, items):
                 for s in range(len(w) - len(win) + 1):
                     if w[s : s + len(win)] == win:
                         hit.update(range(s, s + len(win)))
-                        found.add(str(item))
+                        found |= set() if item is None else {str(item)}
         out.append((doc_id, len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
@@ -185,7 +185,7 @@ def test_copies_do_not_fill_the_samples(spark, monkeypatch):
 
 
 def test_contamination(spark, docs, none):
-    items = [(1, PASSAGE), (2, "w1 W2"), (3, None), (4, ""), (5, " ".join(BASE.split()[50:70]).upper())]
+    items = [(1, PASSAGE), (2, "w1 W2"), (3, None), (4, ""), (5, " ".join(BASE.split()[50:70]).upper()), (None, " ".join(BASE.split()[100:120]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = [(r.doc_id, r.n_words, r.n_hit, sorted(r.hit_items), r.contaminated) for r in decontaminate.contamination(docs, bench).collect()]
     assert sorted(got, key=str) == sorted(brute_contamination([(r[0], r[1]) for r in ROWS], items), key=str)
