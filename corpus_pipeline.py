@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltspark.llm import decontaminate, neardup, packing, secrets, toxicity
-from siltspark.llm.common import saved, table, work_dir
+from siltspark.llm.common import fresh, saved, table, work_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7."""
     model = toxicity.fit(toxicity.labelled_rows(docs, table(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score"), model)
-    return scored.where("score < 0.7").drop("score").withColumnRenamed("_score", "score")
+    own = fresh(docs, "_score")
+    scored = toxicity.score(docs.withColumnRenamed("score", own), model)
+    return scored.where("score < 0.7").drop("score").withColumnRenamed(own, "score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced; n_chars follows a changed text."""
-    out = secrets.scan(docs, redacted=True)
+    own = fresh(docs, "_secrets")
+    out = secrets.scan(docs.withColumnRenamed("secrets", own), redacted=True)
     if "n_chars" in docs.columns:
         changed = F.size("secrets") > 0
         out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("secrets")
+    return out.drop("secrets").withColumnRenamed(own, "secrets")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
