@@ -168,12 +168,13 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def resolve_redirects(articles: DataFrame, hops: int = 8) -> DataFrame:
     """Where a chain of ``url, to`` ends after so many hops; reason: ok, missing, or loop for what goes on."""
-    out = articles.select("url", F.col("to").alias("at"))
+    out = articles.where("to is not null").select("url", F.col("to").alias("at"))
     step = articles.select(F.col("url").alias("at"), F.col("to").alias("next"), F.lit(True).alias("found"))
-    for _ in range(hops):
-        out = out.where("at is not null").join(step, "at", "left").select("url", F.when(F.col("found") & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("at")).alias("at")).unionByName(out.where("at is null"))
+    for _ in range(hops):  # one join a hop
+        out = out.join(step, "at", "left").select("url", F.coalesce("next", "at").alias("at"))
     last = out.join(step, "at", "left")
-    return last.select("url", F.col("at").alias("target"), F.when(F.col("at").isNull(), "ok").when(F.col("found").isNull(), "missing").when(F.col("next").isNull(), "ok").otherwise("loop").alias("reason"))
+    ended = last.select("url", F.col("at").alias("target"), F.when(F.col("found").isNull(), "missing").when(F.col("next").isNull(), "ok").otherwise("loop").alias("reason"))
+    return ended.unionByName(articles.where("to is null").select("url", F.col("to").alias("target"), F.lit("ok").alias("reason")))
 
 
 def fingerprint(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: How transient messages begin, English and Chinese.
-TRANSIENT = ("what ", "how ", "why ", "when ", "where ", "who ", "can you", "could you", "please", "hello", "hi ", "thanks", "什么", "怎么", "为什么", "你好", "谢谢")
+TRANSIENT = (
+    "what", "how", "when", "where", "who", "why", "can you", "could you", "will you", "would you", "hello", "hi ", "hey", "good morning", "good afternoon",
+    "thanks", "thank you", "ok", "okay", "yes", "no", "yep", "nope", "什么", "怎么", "为什么", "你好", "谢谢", "可以", "能不能", "能否",
+)
 
 
 def preview(text: Column, n: int = 200) -> Column:
@@ -131,14 +134,27 @@ def call_metrics(calls: DataFrame) -> DataFrame:
     )
 
 
-def latency_stats(df: DataFrame, key: str, value: str) -> DataFrame:
-    """n, min, max, mean, the element n/2 of the sorted list as median, population deviation."""
-    w = W.partitionBy(key)
-    d = df.select(key, F.col(value).alias("v")).withColumns({"r": F.row_number().over(w.orderBy("v")), "n": F.count("*").over(w)})
-    return d.groupBy(key).agg(
-        F.count("*").alias("n"), F.round(F.min("v"), 4).alias("min"), F.round(F.max("v"), 4).alias("max"), F.round(F.avg("v"), 4).alias("mean"),
-        F.round(F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("v"))), 4).alias("median"), F.round(F.stddev_pop("v"), 4).alias("stddev"),
-    )
+def latency_stats(df: DataFrame, key: str, value: str, buckets: int = 1024) -> DataFrame:
+    """n, min, max, mean, the element n/2 of the sorted list as median, population deviation; nulls sort first.
+
+    Values are counted by ranges, and only the range that holds a key's median is sorted, so that a key of very many
+    rows is no task of its own.
+    """
+    d = df.select(key, F.col(value).alias("v"))
+    whole = d.groupBy(key).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev"))
+    bounds = whole.select(F.col(key).alias("k"), "lo", "hi", "n")
+    bounds = F.broadcast(bounds) if bounds.limit(10_001).count() <= 10_000 else bounds
+    share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+    part = F.when(F.col("v").isNull(), -1).otherwise(F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets)), F.lit(0)))
+    placed = d.join(bounds, F.col(key).eqNullSafe(F.col("k"))).select(key, "v", "n", part.alias("part"))
+    before = F.sum("c").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    counted = placed.groupBy(key, "part", "n").agg(F.count("*").alias("c")).withColumn("before", F.coalesce(before, F.lit(0)))
+    at = F.floor(F.col("n") / 2) - F.col("before")
+    held = counted.where((at >= 0) & (at < F.col("c"))).select(F.col(key).alias("k"), F.col("part").alias("p"), (at + 1).alias("at"))
+    row = F.row_number().over(W.partitionBy(key, "part").orderBy("v"))
+    median = placed.join(held, F.col(key).eqNullSafe(F.col("k")) & (F.col("part") == F.col("p"))).withColumn("r", row).where(F.col("r") == F.col("at"))
+    out = whole.join(median.select("k", F.col("v").alias("median")), F.col(key).eqNullSafe(F.col("k")), "left")
+    return out.select(key, "n", *[F.round(c, 4).alias(name) for c, name in (("lo", "min"), ("hi", "max"), ("mean", "mean"), ("median", "median"), ("dev", "stddev"))])
 
 
 def _by_span(history: DataFrame, span_us: int) -> DataFrame:

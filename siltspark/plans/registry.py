@@ -84,11 +84,11 @@ def vector_search(s, d):
     return search.knn(v.where("id = 3"), v, 5, same=True).select(F.col("b_id").alias("id"), "score")
 
 
-@query("""WITH l AS (SELECT p_partkey AS id, round(p_size / 50.0, 4) AS score FROM part WHERE p_size > 20), e AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE, 4) AS score FROM embeddings WHERE vec_id > 100)
+@query("""WITH l AS (SELECT p_partkey AS id, round(p_size / 50.0, 4) AS score FROM part WHERE p_size > 20), e AS (SELECT vec_id AS id, round(embedding[1]::DOUBLE, 4) AS score FROM embeddings)
 SELECT id, round(0.7 * coalesce(l.score, 0) + 0.3 * coalesce(e.score, 0), 6) AS score FROM l FULL JOIN e USING (id)""")
 def fuse(s, d):
     lex = src.load(s, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("id"), F.round(F.col("p_size") / 50.0, 4).alias("score"))
-    sem = src.load(s, d, "embeddings").where("vec_id > 100").select(F.col("vec_id").alias("id"), F.round(F.col("embedding")[0].cast("double"), 4).alias("score"))
+    sem = src.load(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(F.col("embedding")[0].cast("double"), 4).alias("score"))
     return search.fuse(lex, sem, 0.3)
 
 
@@ -158,7 +158,7 @@ def merge_text(s, d):
     return ses.merge_text(_messages(s, d), 500)
 
 
-_STARTS = " OR ".join(f"starts_with(lower(trim(content)), '{p}')" for p in ses.TRANSIENT)
+_STARTS = """regexp_matches(lower(trim(content)), '^(what|how|when|where|who|why|can you|could you|will you|would you|hello|hi |hey|good morning|good afternoon|thanks|thank you|ok|okay|yes|no|yep|nope|什么|怎么|为什么|你好|谢谢|可以|能不能|能否)')"""
 
 
 @query(f"WITH {M} SELECT session_id, turn, length(lower(trim(content))) < 20 OR {_STARTS} AS transient FROM messages")
@@ -269,11 +269,11 @@ def current_version(s, d):
     return src.load(s, d, "customer").select("c_custkey").join(top, "c_custkey", "left").select("c_custkey", F.coalesce("v", F.lit(0)).alias("version"))
 
 
-@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey <= 100 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 2")
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 2")
 def version_at(s, d):
     from pyspark.sql import Window as W
 
-    o = src.load(s, d, "orders").where("o_custkey <= 100").select("o_custkey", "o_orderkey")
+    o = src.load(s, d, "orders").select("o_custkey", "o_orderkey")
     return o.withColumn("r", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r = 2").drop("r")
 
 

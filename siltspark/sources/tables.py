@@ -55,12 +55,13 @@ TRACES_SQL = """traces AS (SELECT event_type AS name, user_id, ts, value AS dura
 
 def read_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, d = load(spark, sf_dir, "events"), load(spark, sf_dir, "documents")
-    return e.join(d, F.col("doc_id") == F.col("event_id") % 200).select(
+    every = F.broadcast(d.agg(F.count("*").alias("n_docs")))  # one row
+    return e.crossJoin(every).join(d, F.col("doc_id") == F.col("event_id") % F.col("n_docs")).select(
         F.col("event_id").alias("memory_id"), "user_id", F.col("text").alias("memory"), F.col("ts").cast("timestamp").alias("updated_at")
     )
 
 
-MEMORIES_SQL = "memories AS (SELECT e.event_id AS memory_id, e.user_id, d.text AS memory, e.ts AS updated_at FROM events e JOIN documents d ON d.doc_id = e.event_id % 200)"
+MEMORIES_SQL = "memories AS (SELECT e.event_id AS memory_id, e.user_id, d.text AS memory, e.ts AS updated_at FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents))"
 
 
 def read_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
