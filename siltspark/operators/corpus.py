@@ -7,17 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Path endings that mark an asset.
-ASSET_TYPES = ("css", "js", "png", "jpg", "jpeg", "gif", "svg", "webp", "ico", "woff", "woff2", "ttf", "mp4", "webm", "mp3", "pdf", "zip", "gz")
+ASSET_TYPES = (
+    "pdf", "doc", "docx", "xlsx", "zip", "tar", "gz", "bz2", "7z", "rar", "exe", "dmg", "png", "jpg", "jpeg", "gif", "svg", "ico", "webp", "avif", "css", "js", "json", "xml",
+    "woff", "woff2", "ttf", "otf", "eot", "mp3", "mp4", "webm", "ogg", "wav", "flac", "avi", "mov", "m4v", "m4a",
+)
 #: MIME types by path ending.
 MIME = {
     "html": "text/html", "htm": "text/html", "css": "text/css", "js": "text/javascript", "json": "application/json", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif",
     "svg": "image/svg+xml", "ico": "image/x-icon", "woff": "font/woff", "woff2": "font/woff2", "ttf": "font/ttf", "otf": "font/otf", "xml": "application/xml", "pdf": "application/pdf", "txt": "text/plain",
 }
-#: Markup that a cleaned page does without, by the name it is counted under.
+#: What follows inside a tag.
+_IN_TAG = r"""(?=[^<>]*>)"""
+#: A quoted or bare attribute value, and one that is a script.
+_ANY, _SCRIPT = r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)""", r"""(?:"\s*javascript:[^"]*"|'\s*javascript:[^']*'|javascript:[^\s"'>]*)"""
+#: Markup that a cleaned page does without, by the name it is counted under.
 REMOVED = {
     "script": r"(?is)<script\b[^>]*>.*?</script\s*>", "noscript": r"(?is)<noscript\b[^>]*>.*?</noscript\s*>", "iframe": r"(?is)<iframe\b[^>]*>.*?</iframe\s*>",
-    "object": r"(?is)<object\b[^>]*>.*?</object\s*>", "embed": r"(?is)<embed\b[^>]*>", "base": r"(?is)<base\b[^>]*>",
-    "refresh": r"""(?is)<meta\b[^>]*http-equiv=["']?refresh[^>]*>""", "conditional": r"(?is)<!--\[if\b.*?\[endif\]-->", "handler": r"""(?is)\son[a-z]+\s*=\s*("[^"]*"|'[^']*')""",
+    "object": r"(?is)<object\b[^>]*>.*?</object\s*>", "applet": r"(?is)<applet\b[^>]*>.*?</applet\s*>", "embed": r"(?is)<embed\b[^>]*>", "base": r"(?is)<base\b[^>]*>",
+    "refresh": r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh[^>]*>""", "conditional": r"(?is)<!--\s*\[if\b.*?\[endif\]\s*-->",
+    "dead_link": r"""(?is)<link\b(?=[^>]*\srel\s*=\s*(?:"[^"]*|'[^']*)?\b(?:preconnect|dns-prefetch|modulepreload)\b)[^>]*>"""
+    r"""|<link\b(?=[^>]*\srel\s*=\s*(?:"[^"]*|'[^']*)?\b(?:preload|prefetch)\b)(?=[^>]*\s(?:as\s*=\s*["']?script\b|href\s*=\s*["']?[^"'\s>]*\.js(?=["'\s>])))[^>]*>""",
+    "handler": rf"(?is)\son[a-z]+\s*=\s*{_ANY}{_IN_TAG}", "js_url": rf"(?is)\s(?:src|action|formaction|poster|data|background|xlink:href)\s*=\s*{_SCRIPT}{_IN_TAG}",
 }
 
 #: The value of an attribute: quoted either way, or bare.
@@ -80,13 +90,21 @@ def page_title(html: Column) -> Column:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """page_id, html without active markup, and how much of each kind was removed."""
+    """page_id, html without active markup, how much of each kind was removed, and whether a character set had to be named.
+
+    A link that is a script leads to # then; other attributes that are scripts go.
+    """
     html, counts = F.col("html"), []
     for name, pattern in REMOVED.items():
         counts.append(F.size(F.regexp_extract_all("html", F.lit(pattern), F.lit(0))).alias(f"n_{name}"))
         html = F.regexp_replace(html, pattern, "")
-    html = F.regexp_replace(html, r"""(?is)\bhref\s*=\s*(["'])\s*javascript:[^"']*["']""", 'href="#"')
-    return pages.select("page_id", html.alias("html"), *counts)
+    link = rf"(?is)(\s)href\s*=\s*{_SCRIPT}{_IN_TAG}"
+    counts.append(F.size(F.regexp_extract_all("html", F.lit(link), F.lit(0))).alias("n_js_link"))
+    out = pages.select("page_id", F.regexp_replace(html, link, '$1href="#"').alias("html"), *counts)
+    # both in one select would copy the cleaning into each use
+    bare, meta = ~F.col("html").rlike(r"(?is)<meta\b[^>]*\bcharset\s*="), '<meta charset="utf-8">'
+    headed = F.when(F.col("html").rlike(r"(?i)<head[\s>]"), F.regexp_replace("html", r"(?is)^(.*?<head(?:\s[^>]*)?>)", f"$1{meta}")).otherwise(F.concat(F.lit(meta), "html"))
+    return out.withColumn("n_charset", bare.cast("int")).withColumn("html", F.when(bare, headed).otherwise(F.col("html")))
 
 
 def attribute(tag: Column, name: str) -> Column:

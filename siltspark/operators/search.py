@@ -28,32 +28,37 @@ def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     return postings(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_search(docs: DataFrame, key: str, text: str, query: str, k: int) -> DataFrame:
+def bm25_search(docs: DataFrame, key: str, text: str, query: str, k: int, within: Column | None = None) -> DataFrame:
     """The k best documents that hold every query word as a prefix of a term, by BM25.
 
-    Only terms that start with a query word are counted; document lengths come from the array sizes.
+    Only terms that start with a query word are counted; document lengths come from the array sizes.  With a condition
+    within, only documents that meet it are found, weighed by the counts of all.
     """
     terms = query_terms(query)
-    sized = docs.select(key, tokens(F.col(text)).alias("w")).withColumn("dl", F.size("w"))
+    sized = docs.select(key, tokens(F.col(text)).alias("w"), (F.lit(True) if within is None else within).alias("inside")).withColumn("dl", F.size("w"))
     whole = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     matches = F.array_compact(F.array(*[F.when(F.col("term").startswith(t), F.lit(i)) for i, t in enumerate(terms)]))
-    hits = sized.select(key, "dl", F.explode("w").alias("term")).where(F.greatest(F.lit(False), *[F.col("term").startswith(t) for t in terms]))
-    tf = hits.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
+    hits = sized.select(key, "dl", "inside", F.explode("w").alias("term")).where(F.greatest(F.lit(False), *[F.col("term").startswith(t) for t in terms]))
+    tf = hits.groupBy(key, "dl", "inside", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(whole))
+    scored = tf.where("inside").join(df, "term").crossJoin(F.broadcast(whole))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     per_doc = scored.withColumn("m", matches).groupBy(key).agg(F.sum(score).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("m")))).alias("found"))
     return per_doc.where(F.col("found") == len(set(terms))).select(key, F.round("score", 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def match_score(text: Column, query: str) -> Column:
+    """Occurrences of the query, or else of its words how many occur, over bytes div 100 + 1, 1 at most."""
+    t, q = F.lower(text), query.lower()
+    count = (F.length(t) - F.length(F.replace(t, F.lit(q), F.lit("")))) / len(q) if q else F.lit(0.0)
+    words = sum((t.contains(w).cast("double") for w in q.split()), F.lit(0.0))
+    return F.least(F.lit(1.0), F.when(count > 0, count).otherwise(words) / (F.floor(F.octet_length(t) / 100) + 1))
+
+
 def like_search(messages: DataFrame, query: str, k: int) -> DataFrame:
-    """Messages that hold the query, newest first; score = min(1, hits / (length div 100 + 1))."""
-    q = query.lower()
-    text = F.lower("content")
-    count = (F.length(text) - F.length(F.replace(text, F.lit(q), F.lit("")))) / len(q)
-    score = F.least(F.lit(1.0), count / (F.floor(F.length("content") / 100) + 1))
-    hit = messages.where(text.contains(q)).select("session_id", "turn", F.round(score, 4).alias("score"))
+    """Messages that hold the query, newest first, with their match_score."""
+    hit = messages.where(F.lower("content").contains(query.lower())).select("session_id", "turn", F.round(match_score(F.col("content"), query), 4).alias("score"))
     return hit.orderBy(F.desc("session_id"), F.desc("turn")).limit(k)
 
 

@@ -254,7 +254,7 @@ _BM25 = (
 )
 
 
-@query(f"""WITH {M}, full_text AS ({_BM25}), near AS (SELECT session_id || ':' || turn AS doc_id, round(least(1.0, ((length(content) - length(replace(lower(content), 'the an', ''))) / 6.0) / (floor(length(content) / 100) + 1)), 4) AS score
+@query(f"""WITH {M}, full_text AS ({_BM25}), near AS (SELECT session_id || ':' || turn AS doc_id, round(least(1.0, ((length(content) - length(replace(lower(content), 'the an', ''))) / 6.0) / (floor(strlen(lower(content)) / 100) + 1)), 4) AS score
 FROM messages WHERE contains(lower(content), 'the an') ORDER BY session_id DESC, turn DESC LIMIT 50), u AS (SELECT doc_id, score, 0 AS source FROM full_text UNION ALL SELECT doc_id, score, 1 FROM near),
 f AS (SELECT doc_id, arg_min(score, source) AS score, min(source) AS source FROM u GROUP BY 1 ORDER BY source, score DESC, doc_id LIMIT 60)
 SELECT doc_id AS id, CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview, score::DOUBLE AS score FROM f JOIN messages ON session_id || ':' || turn = doc_id

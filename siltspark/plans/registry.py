@@ -48,12 +48,25 @@ def bm25_search(s, d):
     return search.bm25_search(_docs(s, d), "doc_id", "text", "thea inge", 10)
 
 
+_DATA = f"""{M}, d AS (SELECT session_id, turn, {SHARE_SQL.replace('text', 'content')} AS w FROM messages)"""
+
+
+@query(f"""WITH {_DATA}, st AS (SELECT count(*) AS n, avg(len(w)) AS a FROM d),
+tf AS (SELECT session_id, turn, dl, term, count(*) AS tf FROM (SELECT session_id, turn, len(w) AS dl, unnest(w) AS term FROM d) WHERE starts_with(term, 'th') GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
+SELECT session_id || ':' || turn AS id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 4) AS score FROM tf JOIN df USING (term), st
+WHERE session_id % 5 = 2 GROUP BY session_id, turn ORDER BY score DESC, id LIMIT 20""")
+def session_search(s, d):
+    m = _messages(s, d).withColumn("id", F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn").cast("string")))
+    return search.bm25_search(m, "id", "content", "th", 20, within=F.col("session_id") % 5 == 2)
+
+
 @query(f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SHARE_SQL}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_stats(s, d):
     return search.term_stats(_docs(s, d), "doc_id", "text")
 
 
-@query(f"""WITH {M} SELECT session_id, turn, round(least(1.0, ((length(content) - length(replace(lower(content), 'the', ''))) / 3.0) / (floor(length(content) / 100) + 1)), 4) AS score
+@query(f"""WITH {M} SELECT session_id, turn, round(least(1.0, ((length(content) - length(replace(lower(content), 'the', ''))) / 3.0) / (floor(strlen(lower(content)) / 100) + 1)), 4) AS score
 FROM messages WHERE contains(lower(content), 'the') ORDER BY session_id DESC, turn DESC LIMIT 50""")
 def like_search(s, d):
     return search.like_search(_messages(s, d), "the", 50)
@@ -416,9 +429,46 @@ def page_title(s, d):
     return _pages(s, d).select("page_id", web.page_title(F.col("html")).alias("title"))
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>')) AS INTEGER) AS n_script, length(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')) AS n FROM pages")
+#: Pages with each construct once, and what a cleaned page has instead.
+_DIRTY = (
+    ('<head><title>t</title></head><p onclick="a>b()" ONLOAD=go>x</p>', '<head><meta charset="utf-8"><title>t</title></head><p>x</p>', 0, 2, 0, 0, 0, 1),
+    ('<meta charset=utf-8><applet code=x>y</applet>one on = two', '<meta charset=utf-8>one on = two', 0, 0, 0, 0, 1, 0),
+    ('<meta charset="x"><link rel="preload" as="script" href="/a"><link rel=stylesheet href=/b.css><link rel="dns-prefetch" href=//c><link rel=prefetch href="/d.js">', '<meta charset="x"><link rel=stylesheet href=/b.css>', 0, 0, 0, 3, 0, 0),
+    ('<meta charset="x"><a href=" javascript:f()">k</a><img src=javascript:g() alt=z><form action="javascript:h()">', '<meta charset="x"><a href="#">k</a><img alt=z><form>', 0, 0, 3, 0, 0, 0),
+    ('<script>a</script>b<SCRIPT src=c></SCRIPT><!--[if IE]><i><![endif]--><iframe src=d></iframe>', '<meta charset="utf-8">b', 2, 0, 0, 0, 0, 1),
+)
+
+
+@query(
+    "SELECT page_id, CAST(len(regexp_extract_all(html, '(?is)<script\\b[^>]*>.*?</script\\s*>')) AS INTEGER) AS n_script, CAST(len(regexp_extract_all(html, '(?is)<[a-z][^<>]*\\son[a-z]+\\s*=')) AS INTEGER) AS n_handler, "
+    "CAST(len(regexp_extract_all(html, '(?is)=\\s*[\"'']?\\s*javascript:')) AS INTEGER) AS n_js, CAST(len(regexp_extract_all(html, '(?is)<link\\b[^>]*rel=.?(preconnect|dns-prefetch|modulepreload)')) AS INTEGER) AS n_dead, "
+    "CAST(len(regexp_extract_all(html, '(?is)<applet')) AS INTEGER) AS n_applet, CAST(NOT regexp_matches(html, '(?is)<meta\\b[^>]*\\bcharset\\s*=') AS INTEGER) AS n_charset, NULL AS clean FROM pages UNION ALL FROM (VALUES "
+    + ", ".join(f"({-1 - k}, {', '.join(map(str, x[2:]))}, '{x[1]}')" for k, x in enumerate(_DIRTY)) + ")"
+)
 def clean_pages(s, d):
-    return web.clean_pages(_pages(s, d)).select("page_id", "n_script", F.length("html").cast("long").alias("n"))
+    dirty = s.createDataFrame([(-1 - k, x[0]) for k, x in enumerate(_DIRTY)], "page_id long, html string")
+    cleaned = web.clean_pages(_pages(s, d).select("page_id", "html").unionByName(dirty))
+    n_js = (F.col("n_js_url") + F.col("n_js_link")).alias("n_js")
+    return cleaned.select("page_id", "n_script", "n_handler", n_js, F.col("n_dead_link").alias("n_dead"), "n_applet", "n_charset", F.when(F.col("page_id") < 0, F.col("html")).alias("clean"))
+
+
+@query("""WITH u AS (SELECT page_id, 0 AS k, url FROM pages UNION ALL SELECT page_id, 1, url || '.PDF' FROM pages UNION ALL SELECT page_id, 2, url || '/a.m4a?q=x.html' FROM pages)
+SELECT page_id, k, CASE WHEN regexp_matches(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '(?i)\\.(pdf|doc|docx|xlsx|zip|tar|gz|bz2|7z|rar|exe|dmg|png|jpg|jpeg|gif|svg|ico|webp|avif|css|js|json|xml|woff|woff2|ttf|otf|eot|mp3|mp4|webm|ogg|wav|flac|avi|mov|m4v|m4a)$') THEN 'asset' ELSE 'page' END AS kind FROM u""")
+def url_kinds(s, d):
+    p = _pages(s, d).select("page_id", "url")
+    every = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.concat("url", F.lit(x)).alias("u")) for k, x in enumerate(("", ".PDF", "/a.m4a?q=x.html"))])).alias("x")
+    return p.select("page_id", every).select("page_id", "x.k", web.url_kind(F.col("x.u")).alias("kind"))
+
+
+_HOPS = """a AS (SELECT c_custkey AS url, CASE c_custkey % 6 WHEN 0 THEN NULL WHEN 1 THEN c_custkey - 1 WHEN 2 THEN c_custkey - 1 WHEN 3 THEN c_custkey + 1 WHEN 4 THEN c_custkey - 1 ELSE -c_custkey END AS nxt FROM customer)"""
+
+
+@query(f"""WITH RECURSIVE {_HOPS}, h AS (SELECT url, nxt, 0 AS k FROM a UNION ALL SELECT h.url, coalesce(a.nxt, h.nxt), k + 1 FROM h LEFT JOIN a ON a.url = h.nxt WHERE k < 8)
+SELECT h.url, h.nxt AS target, CASE WHEN h.nxt IS NULL THEN 'ok' WHEN a.url IS NULL THEN 'missing' WHEN a.nxt IS NULL THEN 'ok' ELSE 'loop' END AS reason FROM h LEFT JOIN a ON a.url = h.nxt WHERE k = 8""")
+def redirect_chains(s, d):
+    c = F.col("c_custkey")
+    to = F.when(c % 6 == 0, None).when(c % 6 == 3, c + 1).when(c % 6 == 5, -c).otherwise(c - 1)
+    return web.resolve_redirects(src.load(s, d, "customer").select(c.alias("url"), to.alias("to")))
 
 
 @query("SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates, CAST(sum((n - 1) * size) AS BIGINT) AS bytes_saved FROM (SELECT sha256(text) AS h, count(*) AS n, any_value(strlen(text)) AS size FROM documents GROUP BY 1)")
@@ -553,7 +603,7 @@ def hybrid_recall(s, d):
     return search.hybrid_recall(first, v, v.where("id = 3").select(F.col("vec").alias("q")), 20)
 
 
-@query(f"""WITH {M}, {MEM}, h AS (SELECT content, round(least(1.0, ((length(content) - length(replace(lower(content), 'inge', ''))) / 4.0) / (floor(length(content) / 100) + 1)), 4) AS score
+@query(f"""WITH {M}, {MEM}, h AS (SELECT content, round(least(1.0, ((length(content) - length(replace(lower(content), 'inge', ''))) / 4.0) / (floor(strlen(lower(content)) / 100) + 1)), 4) AS score
 FROM messages WHERE contains(lower(content), 'inge') ORDER BY session_id DESC, turn DESC LIMIT 20)
 SELECT CASE WHEN length(content) > 200 THEN substr(content, 1, 200) || '...' ELSE content END AS preview, score::DOUBLE AS score FROM h
 UNION ALL SELECT '[Memory] ' || CASE WHEN length(memory) > 190 THEN substr(memory, 1, 190) || '...' ELSE memory END, 0.5 FROM memories WHERE user_id = 3 AND contains(lower(memory), 'inge')""")
