@@ -193,6 +193,49 @@ def test_budget_stream(spark, tmp_path):
     assert [g[0:1] + g[2:] for g in got] == [(1, 60, 6, "tokens"), (1, 60, 6, "tokens"), (2, 0, 2, "time")]
 
 
+def streamed(spark, df, files, make, mode, name, folder):
+    """What a stream over df's rows, one file after the other, gives in the end; its last row for each key in update mode."""
+    for low, high in files:
+        df.where(F.col("part").between(low, high)).drop("part").coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    stream = spark.readStream.schema(df.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}")
+    q = make(stream).writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.table(name).collect()
+
+
+def test_streams_equal_batch_without_late_rows(spark, tmp_path):
+    hours = 3600
+    rows = [(k, "call" if k % 2 else "chat", 7 + k % 2, 600 * k, float(k), k % 3 != 0, k // 40) for k in range(120)]
+    rows += [(900, "call", 7, 10, 1.0, False, 3), (901, "call", 7, 90 * hours, 1.0, True, 4)]  # a day late, and one that closes all windows
+    df = spark.createDataFrame(rows, "event_id int, name string, user_id int, s long, duration_ms double, success boolean, part int").withColumns(
+        {"ts": F.timestamp_seconds("s"), "error_count": F.when(F.col("success"), 0).otherwise(1), "quality": F.lit(0.9)}
+    ).drop("s")
+    files = [(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)]
+    on_time = df.where("event_id < 900")
+    # windows: the late failure is dropped, the rest is what a batch gives
+    make = lambda d: streams.failure_windows(d, "4 hours", late="1 hour", limit=4)
+    got = streamed(spark, df, files, make, "append", "windows", tmp_path)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, make(on_time).collect())) and all(r.limited == (r.n >= 4) for r in got)
+    # sessions: one gap of a day ends them; each user's newest events in order
+    make = lambda d: streams.live_sessions(d, "3 hours", "1 hour", most=5)
+    got = streamed(spark, df.where("event_id <> 900"), files, make, "append", "sessions", tmp_path)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, make(on_time).collect()))
+    assert {(r.user_id, r.n): r.events for r in got} == {(7, 60): [110, 112, 114, 116, 118], (8, 60): [111, 113, 115, 117, 119]}
+    # counters: the last update of each name is the batch's row
+    got = {r.name: r for r in streamed(spark, df, files, streams.metric_stream, "update", "metrics", tmp_path)}
+    assert {tuple(r) for r in got.values()} == {tuple(r) for r in streams.metric_stream(df).collect()}
+    assert (got["call"].last_ms, got["call"].last_error, got["chat"].errors) == (1.0, "", 20)
+
+
+def test_promotion_keeps_facts_once(spark, tmp_path):
+    texts = [(1, "user", "I prefer green tea in the morning"), (1, "user", "I prefer green tea in the morning"), (2, "user", "I prefer green tea in the morning"), (1, "assistant", "I prefer black coffee every day"),
+             (1, "user", "what do you prefer to drink today?"), (3, "user", "We decided to ship it on Friday"), (3, "user", "nothing of note was said here at all"), (3, "user", None)]
+    df = spark.createDataFrame([(*t, 60 * k, k // 3) for k, t in enumerate(texts)], "session_id int, role string, content string, s long, part int").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    got = streamed(spark, df, [(0, 0), (1, 1), (2, 2)], streams.promote_stream, "append", "promoted", tmp_path)
+    assert sorted((r.session_id, r.kind) for r in got) == [(1, "preference"), (2, "preference"), (3, "decision")]
+
+
 def test_web_corpus_files(spark, tmp_path):
     html = "<title>t</title><script>x</script><a href='/b'>b</a>" + "w" * 200
     pages = spark.createDataFrame([(1, "http://e.com/a", html), (2, "http://e.com/a#x", html), (3, "http://e.com/b", html), (4, "http://o.com/", html), (5, "http://e.com/c", "captcha"), (6, "http://e.com/d", None), (7, None, html)], "page_id int, url string, html string")
