@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siltspark.llm.common import saved, table, work_dir
 from siltspark.llm.components import components
+from siltspark.operators.corpus import clean_path
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query, as (action, host, path).
@@ -45,12 +46,14 @@ def rule_of(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return F.array_max(F.filter(every, lambda r: under(r) & path.startswith(r["path"])))
 
 
-def absolute_url(target: Column, host: Column, scheme: Column) -> Column:
-    """A link target as an absolute URL; null unless absolute or rooted."""
+def absolute_url(target: Column, url: Column) -> Column:
+    """A link target on a page as an absolute URL; null for an empty one, a fragment, mail, a script and the like."""
     t = F.trim(F.regexp_replace(target, "&amp;", "&"))
-    return F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t)).when(
-        t.startswith("/"), F.concat(scheme, F.lit("://"), host, t)
-    )
+    scheme, path = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.when(url_path(url) == "", "/").otherwise(url_path(url))
+    root, own = F.concat(scheme, F.lit("://"), url_host(url)), F.regexp_extract(t, r"(?s)^([^?#]*)", 1)
+    beside = F.concat(root, clean_path(F.concat(F.regexp_replace(path, r"[^/]*$", ""), own)), F.regexp_extract(t, r"(?s)^[^?#]*(.*)$", 1))
+    out = F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when((t == "") | t.rlike(r"^(#|[A-Za-z][A-Za-z0-9+.-]*:)"), None).when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
+    return out.when(t.startswith("/"), F.concat(root, t)).when(t.startswith("?"), F.concat(root, path, t)).otherwise(beside)
 
 
 def url_key(url: Column) -> Column:
@@ -71,9 +74,8 @@ def alias_edges(pages: DataFrame, folder: str) -> DataFrame:
         F.nullif(F.regexp_extract("tag", r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1), F.lit("")),
         F.nullif(F.regexp_extract("tag", r"""(?is)\burl\s*=\s*["']?([^"'\s>;]+)""", 1), F.lit("")),
     )
-    scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
     links = saved(tag.select("url", target.alias("target")).distinct(), folder, "targets")
-    links = links.select("url", absolute_url(F.col("target"), url_host(F.col("url")), scheme).alias("to")).distinct()
+    links = links.select("url", absolute_url(F.col("target"), F.col("url")).alias("to")).distinct()
     return links.select(url_key(F.col("url")).alias("a"), url_key(F.col("to")).alias("b")).where("b is not null and a <> b").distinct()
 
 
@@ -120,9 +122,10 @@ pg AS (SELECT row_number() OVER () AS r, page_id, url, html,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
   coalesce(regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1), '') AS query FROM pages),
 k AS (SELECT *, CASE WHEN url LIKE '%://%' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || query END AS key FROM pg),
-tags AS (SELECT key, host, unnest(regexp_extract_all(html, '(?is)<(?:link\b[^>]*\brel\s*=\s*["'']?canonical|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh)["''\s>][^>]*>')) AS tag FROM k WHERE key IS NOT NULL),
-t AS (SELECT key, host, coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')) AS u FROM tags),
-tu AS (SELECT key, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u WHEN u LIKE '//%' THEN 'http:' || u WHEN u LIKE '/%' THEN 'http://' || host || u END AS u FROM t),
+tags AS (SELECT key, host, CASE WHEN path = '' THEN '/' ELSE path END AS path, unnest(regexp_extract_all(html, '(?is)<(?:link\b[^>]*\brel\s*=\s*["'']?canonical|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh)["''\s>][^>]*>')) AS tag FROM k WHERE key IS NOT NULL),
+t AS (SELECT key, host, path, coalesce(nullif(regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), nullif(regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '')) AS u FROM tags),
+tu AS (SELECT key, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u WHEN u IS NULL OR regexp_matches(u, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL WHEN u LIKE '//%' THEN 'http:' || u
+  WHEN u LIKE '/%' THEN 'http://' || host || u WHEN u LIKE '?%' THEN 'http://' || host || path || u ELSE 'http://' || host || regexp_replace(path, '[^/]*$', '') || u END AS u FROM t),
 e AS (SELECT key AS a, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}')
   || CASE WHEN regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(u, '(?s)^.*?://[^/?#]*([^?#]*)', 1) END
   || coalesce(regexp_extract(u, '(?s)^[^?#]*(\?[^#]*)', 1), '') AS b FROM tu WHERE u IS NOT NULL),

@@ -387,6 +387,88 @@ def test_secrets(docs, none):
     assert secrets.scan(docs).count() == len(ROWS) and secrets.scan(none).count() == 0
 
 
+def brute_spans(text):
+    """Base spans by trying every place, and entropy spans of what they leave of candidates, by whole windows."""
+    token, value = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", set("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-")
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if text[i : i + len(word)].lower() == word:
+                j = i + len(word)
+                j += text[j : j + 1] in ("'", '"') and text[j : j + 1] != ""
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in (":", "="):
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    k = j + (text[j : j + 1] in ("'", '"') and text[j : j + 1] != "")
+                    end = k
+                    while end < len(text) and text[end] in value:
+                        end += 1
+                    if end > k:
+                        return end, end - k >= 6
+        return None
+
+    def run(i, head, letters, least):
+        if not text.startswith(head, i) or not text[i + len(head) : i + len(head) + 1] or text[i + len(head)] not in letters:
+            return None
+        end = i + len(head)
+        while end < len(text) and text[end] in letters:
+            end += 1
+        return end, end - i >= least
+
+    out = []
+    for kind, at in enumerate((assign, lambda i: run(i, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), lambda i: run(i, "", "0123456789abcdef", 24))):
+        i = 0
+        while i < len(text):
+            found = at(i)
+            if found and found[1]:
+                out.append((i, kind, found[0]))
+            i = found[0] if found else i + 1
+    covered = {p for lo, _, hi in out for p in range(lo, hi)}
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in token:
+            j += 1
+        pieces, lo = [], None
+        for p in range(i, j + 1) if j - i >= 20 else ():
+            if p < j and p not in covered:
+                lo = p if lo is None else lo
+            elif lo is not None:
+                pieces.append((lo, p))
+                lo = None
+        for a, b in pieces:
+            s = text[a:b]
+            bits = lambda w: -sum(w.count(c) / len(w) * np.log2(w.count(c) / len(w)) for c in set(w))
+            if b - a >= 20 and not s.isalpha() and not secrets.ALLOW.fullmatch(s) and max(bits(s[k : k + 20]) for k in range(b - a - 19)) >= secrets.LEAST_BITS[secrets.char_class(s)] - 1e-9:
+                out.append((a, 3, b))
+        i = max(j, i + 1)
+    return sorted(out)
+
+
+def test_secrets_against_brute_force():
+    rng = random.Random(77)
+    parts = ["password", "Token", "api_key", "APIKEY", "secret", "AKIA", "AKIAAKIA", "=", ": ", " = ", '"', "'", " ", "\n", "é", ".", "deadbeef", "0123456789", "hunter", "-", "_", "/"]
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    for _ in range(1500):
+        t = "".join(rng.choice(parts) if rng.random() < 0.7 else pick(rng.choice(["ABCXYZ0189", "0123456789abcdef", "abcXYZ019+/=", "xyz"]), rng.randrange(1, 40)) for _ in range(rng.randrange(1, 14)))
+        assert secrets.find_spans(t) == brute_spans(t), t
+
+
+def test_language_on_held_out_texts(spark):
+    """Two families of two close languages each, told apart on texts that were not learned from."""
+    rng = random.Random(15)
+    stems = {"en": ["the", "thing", "wash", "tion"], "de": ["der", "schaft", "ung", "eich"], "fr": ["eau", "eux", "ique", "ette"], "es": ["ción", "ado", "ero", "illa"]}
+    shared = ["ma", "ri", "lo", "te", "ka"]
+    word = lambda lang: "".join(rng.choice(stems[lang] if rng.random() < 0.4 else shared) for _ in range(rng.randint(2, 4)))
+    rows = [(i, " ".join(word(lang) for _ in range(25)), lang) for i in range(300) for lang in [("en", "de", "fr", "es")[i % 4]]]
+    model = langid.fit(spark.createDataFrame(rows[:160], "key long, text string, lang string"))
+    got, score = model.predict([t.encode() for _, t, _ in rows[160:]])
+    assert np.mean([a == r[2] for a, r in zip(got, rows[160:])]) >= 0.95 and ((score >= 0) & (score <= 1)).all()
+
+
 def brute_windows(v, least):
     out = set()
     for c in range(len(v)):
@@ -501,3 +583,8 @@ def test_urls(spark):
     alone = {r.page_id: r.verdict for r in urls.judge(pages.where("page_id <> 4")).collect()}
     assert alone[2] == alone[3] == "block"
     assert urls.judge(pages.limit(0)).count() == 0
+    # targets beside the page, by its query, and those that lead nowhere
+    near = [page(1, "http://a.net/es/x/1?p"), page(2, "http://b.org/d/e/f", "../g?h"), page(3, "http://b.org/d/g?h", "http://a.net/es/x/1?p"), page(4, "http://b.org/i", "?j"), page(5, "http://b.org/i?j", "../../d/g?h")]
+    near += [page(6, "http://c.org/k", "mailto:x"), page(7, "http://c.org/l", "#m"), page(8, "http://c.org/n", "javascript:void"), page(9, "http://b.org", "d/./g?h")]
+    got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(near, pages.schema)).collect()}
+    assert got == {k: "block" if k in (1, 2, 3, 4, 5, 9) else "allow" for k in range(1, 10)}
