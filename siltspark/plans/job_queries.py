@@ -201,7 +201,7 @@ _CLEAN = "regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g')
 
 @query(f"""WITH c AS ({_CANON}), k AS ({_KEY}), t AS ({_TITLE}), kept AS (SELECT * FROM pages JOIN c USING (page_id) WHERE regexp_matches({_HOST}, '(^|\\.)net$') AND starts_with({_PATH}, '/en/') AND trim(html) <> ''
 QUALIFY row_number() OVER (PARTITION BY canonical ORDER BY page_id) = 1), one AS (SELECT * FROM kept QUALIFY row_number() OVER (PARTITION BY {_CLEAN} ORDER BY page_id) = 1)
-SELECT page_id, canonical AS url, key, title, length({_CLEAN}) AS n FROM one JOIN k USING (page_id) JOIN t USING (page_id)""")
+SELECT page_id, canonical AS url, key, title, length({_CLEAN}) + CASE WHEN regexp_matches(html, '(?is)<meta\\b[^>]*\\bcharset\\s*=') THEN 0 ELSE length('<meta charset="utf-8">') END AS n FROM one JOIN k USING (page_id) JOIN t USING (page_id)""")
 def build_web_corpus(s, d):
     a = jobs.build_web_corpus(_pages(s, d), "net", "/en/")["articles"]
     return a.select("page_id", "url", "key", "title", F.length("clean").cast("long").alias("n"))
