@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = saved(classes, folder, "classes")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     forest = classes.select("node", "sig").mapInArrow(_trees, "tree int, key binary, node long")
-    near = neighbours(saved(forest, folder, "forest"), percent / 100 - 0.2, int(parts), folder)
+    # edges are written before components, so that no task needs two Python workers at once
+    near = saved(neighbours(saved(forest, folder, "forest"), percent / 100 - 0.2, int(parts), folder), folder, "candidates")
     loose = components(near, folder + "/loose")
     loose = saved(loose.withColumnRenamed("component", "grp"), folder, "groups")
     size = loose.groupBy("grp").agg(F.count("*").alias("size"))
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     met = met.select(
         "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "shingles"
     )
-    edges = met.groupBy("grp", "low", "high").applyInArrow(_confirmed(percent), "u long, v long")
+    edges = saved(met.groupBy("grp", "low", "high").applyInArrow(_confirmed(percent), "u long, v long"), folder, "confirmed")
     label = components(edges, folder + "/linked")
     named = features.where("n_shingles > 0").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = saved(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "least")
