@@ -245,11 +245,6 @@ def unseen(candidates: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return candidates.where(F.col(key).isNotNull()).dropDuplicates([key]).join(seen.select(key), key, "left_anti")
 
 
-def scan_commands(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """A row for each risky text (``pattern, risk``) that a document holds, whatever its case."""
-    return docs.join(F.broadcast(patterns), F.lower("text").contains(F.lower("pattern"))).select("doc_id", "pattern", "risk")
-
-
 #: Where markup and style sheets refer to something else, by kind.
 REFERENCES = {
     "attribute": r"""(?is)\s(?:href|src|poster|data)\s*=\s*["']([^"']+)["']""", "srcset": r"""(?is)\ssrcset\s*=\s*["']([^"']+)["']""",

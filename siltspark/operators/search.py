@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +16,33 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda t: t != "")
 
 
-def query_terms(query: str) -> list[str]:
-    """Lower-cased words; each is a prefix."""
-    return query.strip().lower().split()
+#: Characters that make a query word an exact term, unless the word ends with the star.
+MARKS = "*\"'()"
+
+
+def query_words(query: str) -> list[tuple[str, bool]]:
+    """Distinct lower-cased words in order, and whether each is a whole term; the others are prefixes of terms.
+
+    A word with quotes, brackets or stars loses them and is a whole term, but a star at its end makes it a prefix.
+    """
+    words = []
+    for w in query.lower().split():
+        plain = w.translate({ord(c): None for c in MARKS})
+        if plain:
+            words.append((plain, plain != w and not w.endswith("*")))
+    return list(dict.fromkeys(words))
+
+
+def query_word_column(text: Column) -> Column:
+    """The same as an array of ``struct<word, whole>``."""
+    raw = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    plain = lambda w: F.translate(w, MARKS, "")
+    made = F.transform(raw, lambda w: F.struct(plain(w).alias("word"), ((plain(w) != w) & ~w.endswith("*")).alias("whole")))
+    return F.array_distinct(F.filter(made, lambda x: x["word"] != ""))
+
+
+def matches(term: Column, word: str, whole: bool) -> Column:
+    return term == word if whole else term.startswith(word)
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,21 +57,33 @@ def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
 def bm25_search(docs: DataFrame, key: str, text: str, query: str, k: int, within: Column | None = None) -> DataFrame:
     """The k best documents that hold every query word as a prefix of a term, by BM25.
 
-    Only terms that start with a query word are counted; document lengths come from the array sizes.  With a condition
-    within, only documents that meet it are found, weighed by the counts of all.
+    Only terms that match a query word are counted; document lengths come from the array sizes.  With a condition
+    within, only documents that meet it are found, weighed by the counts of all.  A query without words finds nothing.
     """
-    terms = query_terms(query)
+    asked = query_words(query)
     sized = docs.select(key, tokens(F.col(text)).alias("w"), (F.lit(True) if within is None else within).alias("inside")).withColumn("dl", F.size("w"))
     whole = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    matches = F.array_compact(F.array(*[F.when(F.col("term").startswith(t), F.lit(i)) for i, t in enumerate(terms)]))
-    hits = sized.select(key, "dl", "inside", F.explode("w").alias("term")).where(F.greatest(F.lit(False), *[F.col("term").startswith(t) for t in terms]))
+    hits = sized.select(key, "dl", "inside", F.explode("w").alias("term")).where(reduce(Column.__or__, [matches(F.col("term"), *w) for w in asked], F.lit(False)))
     tf = hits.groupBy(key, "dl", "inside", "term").agg(F.count("*").alias("tf"))
+    return ranked(tf, whole, asked, key, k)
+
+
+def weight(n_docs: Column, df: Column, tf: Column, dl: Column, avg_dl: Column) -> Column:
+    """BM25 of a term in a document."""
+    return F.log(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+
+
+def ranked(tf: DataFrame, whole: DataFrame, asked: list[tuple[str, bool]], key: str, k: int) -> DataFrame:
+    """The k best by BM25 of the documents with every word asked for.
+
+    tf: ``key, dl, inside, term, tf`` of all terms that match a word; whole: one row ``n_docs, avg_dl``.
+    """
+    found = F.array_compact(F.array(*[F.when(matches(F.col("term"), *w), F.lit(i)) for i, w in enumerate(asked)]).cast("array<int>"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     scored = tf.where("inside").join(df, "term").crossJoin(F.broadcast(whole))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
-    per_doc = scored.withColumn("m", matches).groupBy(key).agg(F.sum(score).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("m")))).alias("found"))
-    return per_doc.where(F.col("found") == len(set(terms))).select(key, F.round("score", 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
+    score = weight(*map(F.col, ("n_docs", "df", "tf", "dl", "avg_dl")))
+    per_doc = scored.withColumn("m", found).groupBy(key).agg(F.sum(score).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_set("m")))).alias("found"))
+    return per_doc.where((F.col("found") == len(asked)) & F.lit(bool(asked))).select(key, F.round("score", 4).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
 def match_score(text: Column, query: str) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltspark.functions.plugins import Embedder, embed, hashed_terms
-from siltspark.operators import assets, catalog, corpus, facts, graph, search, sessions
+from siltspark.operators import assets, catalog, corpus, facts, graph, patterns, postings, search, sessions
 from siltspark.operators.bundles import import_report
+from siltspark.sources.ranged import work_dir
 from siltspark.sources.tables import write_archive, write_snapshot
 
 
@@ -61,6 +63,61 @@ def recall(messages: DataFrame, memories: DataFrame, query: str, k: int = 10, em
     return hits.unionByName(known.select(F.col("memory_id").cast("string").alias("id"), F.concat(F.lit("[Memory] "), sessions.preview(F.col("memory"), 190)).alias("preview"), F.lit(0.5).alias("score")))
 
 
+def recall_all(messages: DataFrame, queries: DataFrame, memories: DataFrame, k: int = 10, embedder: Embedder = hashed_terms, pool: int = 50, index: str | None = None) -> DataFrame:
+    """query_id, id, preview, score: what recall gives, for a table of queries in one job; ids are session:turn.
+
+    queries: ``query_id long, text`` and perhaps ``session_id`` and ``user_id``, which limit those queries that have one to
+    its messages (and to the user's memories, where memories have a user_id); all messages count for the weights.  Query
+    ids are distinct; a null or blank query brings nothing back.  index: path of a stored index of these messages by id,
+    made by add_documents; else one is made in the shared work folder.  Queries that are held as they are in a message
+    are found by one automaton over all of them, and only the pools' texts are embedded.
+    """
+    spark = messages.sparkSession
+    folder = work_dir(spark)
+    m = messages.select(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn").cast("string")).alias("id"), "session_id", "user_id", "turn", "content", F.octet_length(F.lower("content")).alias("bytes"))
+    if index is None:
+        index = f"{folder}/index"
+        postings.add_documents(m, index, "id", "content")
+    limits = [c for c in ("session_id", "user_id") if c in queries.columns]
+
+    def within(hits: DataFrame, columns: list[str]) -> DataFrame:
+        """The rows of hits whose columns are what their query is limited to."""
+        asked = queries.select("query_id", *[F.col(c).alias(f"_{c}") for c in columns])
+        fits = reduce(lambda a, c: a & (F.col(f"_{c}").isNull() | (F.col(f"_{c}") == F.col(c))), columns, F.lit(True))
+        return hits.join(asked, "query_id").where(fits).drop(*asked.columns[1:]) if columns else hits
+
+    def keep(candidates: DataFrame) -> DataFrame:
+        about = m.select(F.col("id").alias("key"), *limits)
+        return within(candidates.join(about, "key"), limits).select("query_id", "key").distinct() if limits else candidates
+
+    texts = queries.where(F.trim("text") != "").select(F.col("query_id").alias("pattern_id"), F.col("text").alias("pattern"))
+    full = postings.search_many(spark, index, queries, pool, keep).select("query_id", F.col("key").alias("id"), "score", F.lit(0).alias("source"))
+    near = within(patterns.find_patterns(m, ["id", "session_id", "user_id", "turn", "bytes"], "content", texts).withColumnRenamed("pattern_id", "query_id"), limits)
+    newest = W.partitionBy("query_id").orderBy(F.desc("session_id"), F.desc("turn"))
+    near = near.withColumn("r", F.row_number().over(newest)).where(F.col("r") <= pool)
+    near = near.select("query_id", "id", F.round(F.least(F.lit(1.0), F.col("n") / (F.floor(F.col("bytes") / 100) + 1)), 4).alias("score"), F.lit(1).alias("source"))
+    first = full.unionByName(near).groupBy("query_id", "id").agg(F.min_by("score", "source").alias("score"), F.min("source").alias("source"))
+    filled = first.join(queries.select("query_id", sessions.route(F.col("text")).alias("mode")), "query_id")
+    order = W.partitionBy("query_id").orderBy("source", F.desc("score"), "id")
+    filled = filled.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.when(F.col("mode") == "lexical", k).otherwise(pool)).drop("r", "source")
+    filled.write.parquet(f"{folder}/pools")
+    pools = spark.read.schema(filled.schema).parquet(f"{folder}/pools")
+
+    again = pools.where("mode <> 'lexical'").withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+    vectors = embed(m.join(again.select("id").distinct(), "id", "left_semi").select("id", "content"), "content", embedder).select("id", "vec")
+    asked = embed(queries.join(again.select("query_id").distinct(), "query_id", "left_semi").select("query_id", "text"), "text", embedder, name="q").select("query_id", "q")
+    cosine = F.coalesce(search.cosine(F.col("vec"), F.col("q")), F.lit(0.0))
+    ranked = again.join(vectors, "id", "left").join(asked, "query_id").select("query_id", "id", F.round(0.7 * cosine + 0.3 / F.col("r"), 4).alias("score"))
+    ranked = ranked.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k)
+    found = pools.where("mode = 'lexical'").select("query_id", "id", "score").unionByName(ranked.drop("r"))
+    hits = found.join(m.select("id", sessions.preview(F.col("content")).alias("preview")), "id").select("query_id", "id", "preview", "score")
+
+    owned = [c for c in ("user_id",) if c in limits and c in memories.columns]
+    known = memories.select(F.col("memory_id").cast("string").alias("id"), *owned, F.concat(F.lit("[Memory] "), sessions.preview(F.col("memory"), 190)).alias("preview"), "memory")
+    told = within(patterns.find_patterns(known, ["id", *owned, "preview"], "memory", texts).withColumnRenamed("pattern_id", "query_id"), owned)
+    return hits.unionByName(told.select("query_id", "id", "preview", F.lit(0.5).alias("score")))
+
+
 def curate_memory(messages: DataFrame, memories: DataFrame, most: int, ttl_days: int, now: str) -> dict[str, DataFrame]:
     """New facts, all memories with them, and what stays of these after eviction.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltspark.operators import catalog as cat
 from siltspark.operators import corpus as web
-from siltspark.operators import graph, search
+from siltspark.operators import graph, patterns, search
 from siltspark.operators import sessions as ses
 from siltspark.sources import tables as src
 
@@ -527,7 +527,7 @@ def block_report(s, d):
 @query("""WITH p(pattern, risk) AS (VALUES ('Rights Reserved', 'license'), ('password', 'secret'), ('AKIA', 'secret')) SELECT doc_id, pattern, risk FROM documents JOIN p ON contains(lower(text), lower(pattern))""")
 def scan_commands(s, d):
     rows = s.createDataFrame([("Rights Reserved", "license"), ("password", "secret"), ("AKIA", "secret")], "pattern string, risk string")
-    return web.scan_commands(_docs(s, d), rows)
+    return patterns.scan_commands(_docs(s, d), rows)
 
 
 # graph
