@@ -15,7 +15,8 @@ URN_PATTERN = rf"^urn:air:{_LABEL}(\.{_LABEL})+:.+$"
 
 
 def publisher(identifier: Column) -> Column:
-    return F.split(identifier, ":")[2]
+    """The publisher of a URN; null where it is none."""
+    return F.when(identifier.rlike(r"^urn:[^:]+:[^:]+:."), F.try_element_at(F.split(identifier, ":"), F.lit(3)))
 
 
 def urn_parts(identifier: Column) -> Column:
@@ -78,7 +79,12 @@ def browse(entries: DataFrame, by: str) -> DataFrame:
 
 
 def distinct_values(entries: DataFrame, column: str) -> DataFrame:
-    return entries.select(F.explode(column).alias("value")).distinct()
+    """The values of a column, of the lists in it, or of the publishers, once each and in order; null is none."""
+    if column == "publisher" and column not in entries.columns:
+        value = publisher(F.col("identifier"))
+    else:
+        value = F.explode(column) if entries.schema[column].dataType.typeName() == "array" else F.col(column)
+    return entries.select(value.alias("value")).where("value is not null").distinct().orderBy("value")
 
 
 def catalog_score(query: str) -> Column:

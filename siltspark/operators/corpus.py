@@ -151,18 +151,24 @@ def in_scope(url: Column, seed_host: str, subdomains: bool, prefix: str, exclude
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """Whether the longest rule whose path starts the URL's allows it; without a rule, yes.
+    """Whether the longest rule whose path starts the URL's allows it, of equal ones one that allows; without a rule, yes.
 
-    Where rules have an ``agent``, a host's group for the agent counts, and that for * only if there is none.
+    A ``*`` in a rule stands for any text, a ``$`` at its end for the path's end.  What stands before them is a rule's key:
+    a path's beginnings, of the lengths that keys of its host have, meet the keys in an equi-join.  Where rules have an ``agent``, a host's group for the agent counts, and that for * only if there is none.
     """
     if "agent" in rules.columns:
         own = F.lower("agent") == agent.lower()
         groups = rules.where(own | (F.col("agent") == "*")).withColumn("_own", F.max(own).over(W.partitionBy("host")))
         rules = groups.where(own == F.col("_own"))
     u = urls.select("page_id", F.col("host"), F.col("path"))
-    r = rules.select(F.col("host"), F.col("rule_path"), F.col("allow"))
-    hit = u.join(r, "host", "left").where(F.col("rule_path").isNull() | F.col("path").startswith(F.col("rule_path")))
-    best = hit.groupBy("page_id").agg(F.max_by("allow", F.length("rule_path")).alias("allow"))
+    key = F.regexp_extract("rule_path", r"^([^*]*?)(?:\*|\$$|$)", 1)
+    plain = F.regexp_replace(F.regexp_replace("rule_path", r"([\\.^|?+()\[\]{}])", r"\\$1"), r"\*", ".*")
+    pattern = F.concat(F.lit("(?s)^"), F.regexp_replace(plain, r"\$(?!$)", r"\\\$"))
+    r = rules.where("rule_path <> ''").select("host", "rule_path", "allow", key.alias("key"), F.when(F.col("rule_path").rlike(r"\*|\$$"), pattern).alias("pattern")).distinct()
+    sizes = r.groupBy("host").agg(F.collect_set(F.length("key")).alias("sizes"))  # a number for each length of key
+    begun = u.join(sizes, "host").select("page_id", "host", "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n"))
+    hit = begun.withColumn("key", F.left("path", F.col("n"))).join(r, ["host", "key"]).where("pattern is null or regexp_like(path, pattern)")
+    best = hit.groupBy("page_id").agg(F.max_by("allow", F.struct(F.length("rule_path"), F.col("allow"))).alias("allow"))
     return u.join(best, "page_id", "left").select("page_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 

@@ -27,10 +27,27 @@ def graph_stats(triples: DataFrame) -> DataFrame:
     return triples.agg(F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates"), F.count("*").alias("triples"))
 
 
+def _joined(patterns: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The patterns in an order in which each shares a variable with one before it."""
+    names = lambda p: {x for x in p if x.startswith("?")}
+    left, out, known = list(patterns[1:]), list(patterns[:1]), set().union(*map(names, patterns[:1]))
+    while left:
+        at = next((p for p in left if names(p) & known), None)
+        if at is None:
+            raise ValueError(f"no variable joins {left[0]} to the other patterns")
+        left.remove(at)
+        out.append(at)
+        known |= names(at)
+    return out
+
+
 def match(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame:
-    """Bindings of a basic graph pattern; names that begin with ? are variables."""
+    """Bindings of a basic graph pattern; names that begin with ? are variables.
+
+    Patterns are joined in an order in which each shares a variable with an earlier one; if there is none, an error says so.
+    """
     out = None
-    for pattern in patterns:
+    for pattern in _joined(patterns):
         rows, names = triples, {}
         for column, x in zip("spo", pattern):
             if not x.startswith("?"):
@@ -46,6 +63,6 @@ def match(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> DataFrame
 
 
 def graph_context(triples: DataFrame, keywords: list[str], limit: int = 20) -> DataFrame:
-    """The first triples, in order, whose object holds a keyword."""
-    hit = F.greatest(F.lit(False), *[F.lower("o").contains(k.lower()) for k in keywords])
+    """The first triples, in order, whose object holds a keyword; none without keywords."""
+    hit = reduce(Column.__or__, [F.lower("o").contains(k.lower()) for k in keywords], F.lit(False))
     return triples.where(hit).distinct().orderBy("s", "p", "o").limit(limit)

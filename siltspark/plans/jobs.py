@@ -36,7 +36,7 @@ def build_web_corpus(pages: DataFrame, seed_host: str, prefix: str = "/", subdom
     return {"articles": articles, "links": links, "assets": assets.extract_assets(kept), "stats": stats, "snapshot": kept}
 
 
-def write_web_corpus(built: dict[str, DataFrame], path: str, crawl_id: str, partitions: int = 8) -> None:
+def write_web_corpus(built: dict[str, DataFrame], path: str, crawl_id: str, partitions: int | None = None) -> None:
     """The articles as a sorted archive and the pages' snapshot."""
     write_archive(built["articles"].withColumn("ns", F.lit("A")), f"{path}/archive", partitions)
     write_snapshot(built["snapshot"], f"{path}/snapshots", crawl_id)

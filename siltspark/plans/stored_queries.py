@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltspark.operators import patterns, postings, sessions
+from siltspark.operators import catalog as cat
+from siltspark.operators import corpus as web
+from siltspark.operators import longkeys, patterns, postings, sessions
 from siltspark.plans import jobs
 from siltspark.plans.registry import query
 from siltspark.sources import tables as src
@@ -134,3 +136,53 @@ def scan_texts(s, d):
     docs, items = src.load(s, d, "documents"), src.load(s, d, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
     held = patterns.find_patterns(docs, ["doc_id"], "text", items)
     return patterns.scan_commands(docs, rules).unionAll(held.select("doc_id", F.col("pattern_id").cast("string"), F.lit("benchmark")))
+
+
+@query(r"""WITH host AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, url FROM pages), keys AS (SELECT min(url) AS url FROM host GROUP BY host UNION SELECT max(url) FROM host GROUP BY host)
+SELECT 'A' AS ns, url, page_id, md5(html) AS hash FROM pages WHERE url IN (FROM keys)""")
+def archive_look_up(s, d):
+    """The first and last page of every host, looked up in an archive of all pages."""
+    pages = src.load(s, d, "pages")
+    path = work_dir(s)
+    src.write_archive(pages.select(F.lit("A").alias("ns"), "url", "page_id", "html"), path)
+    ends = pages.groupBy(web.host(F.col("url"))).agg(F.array(F.min("url"), F.max("url")).alias("ends"))
+    keys = ends.select(F.lit("A").alias("ns"), F.explode("ends").alias("url"))
+    return src.archive_look_up(s, path, keys).select("ns", "url", "page_id", F.md5("html").alias("hash"))
+
+
+_CHAIN_SQL = f"""{src.TRACES_SQL}, signed AS (SELECT event_id, name, ts, sha256(concat(name, '|', event_id)) AS signature FROM traces),
+linked AS (SELECT *, lag(signature) OVER (PARTITION BY name ORDER BY ts, event_id) AS previous_hash FROM signed),
+kept AS (SELECT * REPLACE (CASE WHEN event_id % 97 = 5 THEN 'changed' ELSE signature END AS signature) FROM linked WHERE event_id % 89 <> 3)"""
+
+
+@query(f"""WITH {_CHAIN_SQL}, v AS (SELECT name, event_id, ts, previous_hash IS NOT DISTINCT FROM lag(signature) OVER (PARTITION BY name ORDER BY ts, event_id) AS unbroken FROM kept)
+SELECT name, count(*) AS records, count(*) FILTER (WHERE NOT unbroken) AS broken, (list(event_id ORDER BY ts, event_id) FILTER (WHERE NOT unbroken))[1] AS first_break FROM v GROUP BY name""")
+def chain_breaks(s, d):
+    """Chains of all events by name after some records were lost and some signatures changed."""
+    linked = longkeys.sign_chain(src.read_traces(s, d))
+    changed = F.when(F.col("event_id") % 97 == 5, "changed").otherwise(F.col("signature"))
+    return longkeys.first_breaks(linked.where("event_id % 89 <> 3").withColumn("signature", changed))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, length(text) // 4 AS t, conv_id % 3 AS shop FROM conversations)
+SELECT conv_id, turn, CAST(sum(t) OVER w AS BIGINT) AS tokens, count(*) OVER w AS n FROM m WINDOW w AS (PARTITION BY shop ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING)""")
+def running_tokens(s, d):
+    """Running tokens and messages over three long keys of all conversations."""
+    c = src.load(s, d, "conversations").select("conv_id", "turn", (F.col("conv_id") % 3).alias("shop"), F.floor(F.char_length("text") / 4).alias("t"), F.lit(1).alias("one"))
+    return longkeys.running_sums(c, ["shop"], ["conv_id", "turn"], {"tokens": "t", "n": "one"}).select("conv_id", "turn", "tokens", "n")
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT * FROM (SELECT DISTINCT host FROM u), (VALUES ('/en/', false, '^/en/'), ('/', true, '^/'), ('/*/1', true, '^/.*/1'), ('/*0$', false, '^/.*0$'), ('/fr/', false, '^/fr/'), ('/fr/', true, '^/fr/')) AS t(p, a, x))
+SELECT page_id, coalesce(arg_max(a, length(p) * 2 + a::INT), true) AS allowed FROM u LEFT JOIN r ON u.host = r.host AND regexp_matches(path, x) GROUP BY page_id""")
+def robots_patterns(s, d):
+    """Robots rules with stars and ends for every host of the pages."""
+    u = src.load(s, d, "pages").select("page_id", web.host(F.col("url")).alias("host"), web._part(F.col("url"), 3).alias("path"))
+    known = (("/en/", False), ("/", True), ("/*/1", True), ("/*0$", False), ("/fr/", False), ("/fr/", True))
+    rules = F.array(*[F.struct(F.lit(p).alias("rule_path"), F.lit(a).alias("allow")) for p, a in known])
+    return web.robots_allowed(u, u.select("host").distinct().select("host", F.inline(rules)))
+
+
+@query(f"""WITH {src.CATALOG_SQL} SELECT DISTINCT regexp_extract(identifier, '^urn:[^:]+:([^:]+):.', 1) AS value FROM catalog""")
+def distinct_publishers(s, d):
+    return cat.distinct_values(src.read_catalog_entries(s, d), "publisher")

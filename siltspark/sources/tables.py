@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from siltspark.sources.ranged import read_ranged, write_segment
+
 #: File types that a document directory scan takes.
 DOCUMENT_TYPES = ("md", "txt", "json", "yaml", "yml", "csv", "html", "xml", "log")
 
@@ -120,10 +122,17 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True).select("specVersion", F.explode("entries").alias("e")).select("specVersion", "e.*")
 
 
-def write_catalog(entries: DataFrame, path: str) -> None:
-    """Entry rows by publisher, not one document."""
-    publisher = F.split(F.col("identifier"), ":")[2]
-    entries.withColumn("publisher", publisher).write.partitionBy("publisher").mode("overwrite").json(path)
+def write_catalog(entries: DataFrame, path: str, host: str = "", spec_version: str = "1.0") -> None:
+    """Entry rows by publisher, each with its host and version, not one document; read_catalog_rows reads them."""
+    known = F.when(F.col("identifier").rlike(r"^urn:[^:]+:[^:]+:."), F.try_element_at(F.split("identifier", ":"), F.lit(3)))
+    entries.withColumns({"publisher": known, "host": F.lit(host), "specVersion": F.lit(spec_version)}).write.partitionBy("publisher").mode("overwrite").json(path)
+
+
+def read_catalog_rows(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What write_catalog has written, with publisher, host and specVersion; schema: of the entries."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    whole = StructType([*[f for f in fields if f.name not in ("host", "specVersion")]]).add("host", "string").add("specVersion", "string").add("publisher", "string")
+    return spark.read.schema(whole).json(path)
 
 
 def read_csv_mapped(spark: SparkSession, path: str, schema: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -157,13 +166,25 @@ def export_sessions(messages: DataFrame) -> DataFrame:
     return good.select("session_id", (F.row_number().over(W.partitionBy("session_id").orderBy("turn")) - 1).alias("turn_index"), "role", "content")
 
 
-def write_archive(articles: DataFrame, path: str, partitions: int = 8) -> None:
-    """Articles sorted by (ns, url) over range partitions, so that a look-up reads few row groups."""
-    articles.repartitionByRange(partitions, "ns", "url").sortWithinPartitions("ns", "url").write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_archive(articles: DataFrame, path: str, partitions: int | None = None) -> None:
+    """Articles sorted by (ns, url) over ranges of files, with a manifest of the ranges; by default as many as shuffle partitions."""
+    write_segment(articles, path, ("ns", "url"), 0, partitions)
 
 
 def archive_get(spark: SparkSession, path: str, ns: str, url: str) -> DataFrame:
-    return spark.read.parquet(path).where((F.col("ns") == ns) & (F.col("url") == url))
+    """The article of a key; only files whose range holds the key are opened."""
+    return archive_look_up(spark, path, spark.createDataFrame([(ns, url)], "ns string, url string"))
+
+
+def archive_look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+    """The articles of a table of keys ``ns, url``, each once; only files whose range holds one of them are opened.
+
+    Keys that no article has give no row; null keys neither.
+    """
+    wanted = keys.select("ns", "url").where("ns is not null and url is not null").distinct()
+    asked = wanted.select(F.struct("ns", "url").alias("_key"))
+    found = read_ranged(spark, path, asked, lambda lo, hi: (lo <= F.col("_key")) & (F.col("_key") <= hi))
+    return found.drop("segment", "part").join(wanted, ["ns", "url"], "left_semi")
 
 
 def write_snapshot(pages: DataFrame, path: str, crawl_id: str) -> None:
