@@ -9,6 +9,7 @@ from siltspark.operators import corpus as web
 from siltspark.operators import longkeys, patterns, postings, sessions
 from siltspark.plans import jobs
 from siltspark.plans.registry import query
+from siltspark.sources import items
 from siltspark.sources import tables as src
 from siltspark.sources.ranged import work_dir
 
@@ -186,3 +187,32 @@ def robots_patterns(s, d):
 @query(f"""WITH {src.CATALOG_SQL} SELECT DISTINCT regexp_extract(identifier, '^urn:[^:]+:([^:]+):.', 1) AS value FROM catalog""")
 def distinct_publishers(s, d):
     return cat.distinct_values(src.read_catalog_entries(s, d), "publisher")
+
+
+@query("""WITH n AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, role, text FROM conversations WHERE role <> 'system' AND trim(text) <> ''),
+p AS (SELECT session_id, i, concat(CASE role WHEN 'user' THEN '### 👤 User' || chr(10) || chr(10) WHEN 'assistant' THEN '### 🤖 Assistant' || chr(10) || chr(10) WHEN 'tool' THEN '#### 🔧 Tool Result' || chr(10) || chr(10) || '```' || chr(10)
+  ELSE '### ' || role || chr(10) || chr(10) END, text, CASE WHEN role = 'tool' THEN chr(10) || '```' ELSE '' END, chr(10), chr(10)) AS piece FROM n)
+SELECT session_id || '.md' AS path, md5(concat('# Session: ', session_id[1:8], chr(10), chr(10), '**Exported**: 2024-02-01', chr(10), chr(10), '---', chr(10), chr(10), string_agg(piece, '' ORDER BY i), chr(10), '---', chr(10), '*', count(*), ' message turns exported*', chr(10))) AS hash
+FROM p GROUP BY session_id""")
+def exported_sessions(s, d):
+    """Every session written as a markdown file, and the files read again."""
+    folder = work_dir(s)
+    items.write_sessions(src.read_messages(s, d), folder, "markdown", "2024-02-01")
+    files = s.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
+    return files.select(F.substring_index("path", "/", -1).alias("path"), F.md5("content").alias("hash"))
+
+
+@query("""WITH o AS (SELECT url, md5(html) AS h, 'e' || page_id AS etag FROM pages WHERE page_id % 13 <> 0),
+n AS (SELECT url, md5(CASE WHEN page_id % 7 = 0 THEN concat(html, '<!-- v2 -->') ELSE html END) AS h, CASE WHEN page_id % 14 = 0 THEN 'e' || page_id ELSE '' END AS etag, CASE WHEN page_id % 21 = 0 THEN 304 ELSE 200 END AS code FROM pages WHERE page_id % 11 <> 0)
+SELECT url, CASE WHEN o.h IS NULL THEN 'new' WHEN n.h IS NULL THEN 'removed' WHEN code = 304 OR (n.etag <> '' AND o.etag = n.etag) OR o.h = n.h THEN 'unchanged' ELSE 'changed' END AS status,
+ CASE WHEN o.h IS NULL THEN 'not cached' WHEN n.h IS NULL THEN 'gone' WHEN code = 304 THEN 'not modified' WHEN n.etag <> '' AND o.etag = n.etag THEN 'etag' WHEN o.h = n.h THEN 'hash' ELSE 'differs' END AS reason FROM o FULL JOIN n USING (url)""")
+def diff_crawls(s, d):
+    """Two of three stored crawls of the pages, told apart by answers, etags and hashes."""
+    pages, path = src.load(s, d, "pages"), work_dir(s)
+    k = F.col("page_id")
+    etag = F.concat(F.lit("e"), k.cast("string"))
+    src.write_snapshot(pages.where(k % 13 != 0).withColumn("etag", etag), path, "one")
+    src.write_snapshot(pages.where("false"), path, "two")
+    new = pages.where(k % 11 != 0).withColumns({"etag": F.when(k % 14 == 0, etag).otherwise(""), "status": F.when(k % 21 == 0, 304).otherwise(200)})
+    src.write_snapshot(new.withColumn("html", F.when(k % 7 == 0, F.concat("html", F.lit("<!-- v2 -->"))).otherwise(F.col("html"))), path, "three")
+    return src.diff_crawls(s, path, "one", "three")

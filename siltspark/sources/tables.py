@@ -187,10 +187,38 @@ def archive_look_up(spark: SparkSession, path: str, keys: DataFrame) -> DataFram
     return found.drop("segment", "part").join(wanted, ["ns", "url"], "left_semi")
 
 
+#: What a crawl's manifest has of a page beside its url, and what of it a page may lack.
+SNAPSHOT = "url string, content_hash string, size int, status int, content_type string, etag string, last_modified string, fetched_at timestamp, crawl_id string"
+
+
 def write_snapshot(pages: DataFrame, path: str, crawl_id: str) -> None:
-    """A crawl's manifest: url, content hash and size."""
-    out = pages.select("url", F.concat(F.lit("md5:"), F.md5("html")).alias("content_hash"), F.octet_length("html").alias("size"), F.lit(crawl_id).alias("crawl_id"))
-    out.write.partitionBy("crawl_id").mode("overwrite").parquet(path)
+    """A crawl's manifest: url, content hash and size, and what pages have of status, content type, etag, time.
+
+    Only this crawl's folder is written, so a crawl that is written again replaces itself and no other.
+    """
+    given = [F.col(f.name).cast(f.dataType) if f.name in pages.columns else F.lit(None).cast(f.dataType) for f in StructType.fromDDL(SNAPSHOT)[3:8]]
+    names = [f.name for f in StructType.fromDDL(SNAPSHOT)[3:8]]
+    out = pages.select("url", F.concat(F.lit("md5:"), F.md5("html")).alias("content_hash"), F.octet_length("html").alias("size"), *[c.alias(n) for c, n in zip(given, names)], F.lit(crawl_id).alias("crawl_id"))
+    out.write.partitionBy("crawl_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, crawl_id: str) -> DataFrame:
+    """The manifest of one crawl, whose folder alone is read."""
+    return spark.read.schema(SNAPSHOT).parquet(path).where(F.col("crawl_id") == crawl_id)
+
+
+def diff_crawls(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """``url, status, reason``: new, unchanged, changed or removed between any two crawls, and what told it.
+
+    A page is unchanged by a 304 answer, an equal etag, an equal last-modified time or an equal content hash, in this order;
+    an empty header tells nothing.  Urls are distinct in a crawl.
+    """
+    o, n = (read_snapshot(spark, path, c).select("url", F.struct("status", F.nullif("etag", F.lit("")).alias("etag"), F.nullif("last_modified", F.lit("")).alias("last_modified"), "content_hash").alias(k)) for c, k in ((old, "o"), (new, "n")))
+    both = o.join(n, "url", "full")
+    same = F.coalesce(*[F.when(F.col(f"o.{c}") == F.col(f"n.{c}"), name) for c, name in (("etag", "etag"), ("last_modified", "last-modified"), ("content_hash", "hash"))])
+    told = F.when(F.col("o").isNull(), "not cached").when(F.col("n").isNull(), "gone").when(F.col("n.status") == 304, "not modified").otherwise(F.coalesce(same, F.lit("differs")))
+    status = F.when(told == "not cached", "new").when(told == "gone", "removed").when(told == "differs", "changed").otherwise("unchanged")
+    return both.select("url", status.alias("status"), told.alias("reason"))
 
 
 def read_eval(spark: SparkSession, path: str, schema: str = "case_id string, response string, expected_pattern string, min_length int, tools array<string>, expected_tools array<string>") -> DataFrame:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 
 from siltspark.operators.facts import fact_kind
-from siltspark.operators.sessions import est_tokens, is_transient, newest
+from siltspark.operators.sessions import is_transient, newest
+from siltspark.streaming.budget import budget_stream  # noqa: F401  the others' companion
 
 
 def frontier_stream(urls: DataFrame, key: str) -> DataFrame:
@@ -80,32 +77,3 @@ def stored_messages(spark: SparkSession, path: str, most: int = 200) -> DataFram
 def compact_messages(spark: SparkSession, path: str, target: str, most: int = 200) -> None:
     """Writes what `stored_messages` gives as the first batch of a new log."""
     stored_messages(spark, path, most).write.mode("overwrite").parquet(f"{target}/batch=0")
-
-
-def budget_stream(messages: DataFrame, most_tokens: int = 64_000, trim: float = 0.3, most_messages: int = 100, gap_s: int = 300) -> DataFrame:
-    """session_id, ts, tokens, n, reason: where a session's history needs revising; its counters then begin anew.
-
-    messages: ``session_id, ts, content``.  A message revises if its session's tokens pass most_tokens * (1 - trim), its
-    messages pass most_messages, or more than gap_s seconds have gone by since the last revision (or the first
-    message).  A session keeps three numbers as state; only times and token counts travel, and a micro-batch's rows of
-    a session are taken in the order of their times.
-    """
-    limit = int(most_tokens * (1 - trim))
-    sized = messages.select("session_id", F.unix_micros("ts").alias("us"), F.coalesce(est_tokens(F.col("content")), F.lit(0)).cast("long").alias("t"))
-
-    def revise(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([c[["us", "t"]] for c in chunks]).sort_values(["us", "t"])
-        tokens, n, since = state.get if state.exists else (0, 0, int(rows["us"].iloc[0]))
-        out = []
-        for us, t in zip(rows["us"].tolist(), rows["t"].tolist()):
-            tokens, n = tokens + t, n + 1
-            reason = "tokens" if tokens > limit else "messages" if n > most_messages else "time" if us - since > gap_s * 1_000_000 else None
-            if reason:
-                out.append((key[0], us, tokens, n, reason))
-                tokens, n, since = 0, 0, us
-        state.update((tokens, n, since))
-        yield pd.DataFrame(out, columns=["session_id", "us", "tokens", "n", "reason"])
-
-    kind = messages.schema["session_id"].dataType.simpleString()
-    revised = sized.groupBy("session_id").applyInPandasWithState(revise, f"session_id {kind}, us long, tokens long, n long, reason string", "tokens long, n long, since long", "append", "NoTimeout")
-    return revised.select("session_id", F.timestamp_micros("us").alias("ts"), "tokens", "n", "reason")
