@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -172,3 +172,22 @@ def patch_governance(traces: DataFrame, responses: DataFrame, cooldown_s: int =
     counted = sessions.rolling_count(sure.withColumn("applied", F.lit(True)), hours, limit).select("event_id", "allowed")
     judged = sure.select("event_id", "name", "ts", "patch", "confidence").join(rest, "event_id").join(counted, "event_id")
     return {"allowed": judged.where("ok and allowed").drop("ok", "allowed"), "waiting": judged.where("not (ok and allowed)"), "rejects": rejects}
+
+
+def import_tables(tables: dict[str, tuple[DataFrame, str, dict[str, tuple[str, str]], list[str]]], path: str) -> DataFrame:
+    """Writes the triples of tables (as build_graph takes them) to path, and gives ``kind, rows, triples, errors``.
+
+    The counts are observed while the triples are written, so each table is read once: its rows, the triples made of
+    them, and as errors the rows without a key, of which none are made.  Null links and properties make no triple.
+    """
+    spark = next(iter(tables.values()))[0].sparkSession
+    seen, parts = {}, []
+    for kind, (df, key, links, properties) in tables.items():
+        seen[kind] = Observation(f"read {kind}"), Observation(f"made {kind}")
+        read = df.observe(seen[kind][0], F.count(F.lit(1)).alias("rows"), F.count_if(F.col(key).isNull()).alias("errors"))
+        made = graph.relations(read.where(F.col(key).isNotNull()), kind, key, links, properties).where("o is not null")
+        parts.append(made.observe(seen[kind][1], F.count(F.lit(1)).alias("triples")))
+    graph.union(*parts).write.mode("overwrite").parquet(path)
+    # three numbers a table
+    rows = [(kind, a.get.get("rows", 0), b.get.get("triples", 0), a.get.get("errors", 0)) for kind, (a, b) in seen.items()]
+    return spark.createDataFrame(rows, "kind string, rows long, triples long, errors long")

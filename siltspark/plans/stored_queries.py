@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siltspark.operators import catalog as cat
 from siltspark.operators import corpus as web
-from siltspark.operators import longkeys, patterns, postings, sessions
+from siltspark.operators import longkeys, patterns, postings, sessions, vectors
 from siltspark.plans import jobs
 from siltspark.plans.registry import query
 from siltspark.sources import items
@@ -216,3 +216,32 @@ def diff_crawls(s, d):
     new = pages.where(k % 11 != 0).withColumns({"etag": F.when(k % 14 == 0, etag).otherwise(""), "status": F.when(k % 21 == 0, 304).otherwise(200)})
     src.write_snapshot(new.withColumn("html", F.when(k % 7 == 0, F.concat("html", F.lit("<!-- v2 -->"))).otherwise(F.col("html"))), path, "three")
     return src.diff_crawls(s, path, "one", "three")
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id // 2 AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS q_id, b.item AS b_id, max(round(list_cosine_similarity(q.v, b.v), 12)) AS c FROM v q JOIN v b ON b.item <> q.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL)
+SELECT q_id, b_id, round(c, 4) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY c DESC, b_id) AS rank FROM s) WHERE rank <= 10""")
+def nearest_items(s, d):
+    """The ten nearest of all items, each of two vectors, for every fiftieth vector."""
+    e = src.load(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vectors.nearest(e.where("id % 50 = 0"), e.withColumn("id", F.expr("id div 2")), 10).withColumn("score", F.round("score", 4))
+
+
+@query("""WITH d AS (SELECT md5(concat(length('=' || url), '=' || url, CASE WHEN html IS NULL THEN '1-' ELSE concat(length('=' || html), '=' || html) END)) AS d FROM pages),
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(d, 1, 15) AS HUGEINT)) AS a, sum(CAST('0x' || substr(d, 16, 15) AS HUGEINT)) AS b FROM d) SELECT n, md5(concat_ws(':', n, CAST(a AS HUGEINT), CAST(b AS HUGEINT))) AS digest FROM s""")
+def multiset_digest(s, d):
+    """The digest of all pages' urls and contents."""
+    return web.multiset_digest(src.load(s, d, "pages"), ["url", "html"])
+
+
+@query("""SELECT 'nation' AS kind, count(*) AS rows, 2 * count(*) AS triples, 0::BIGINT AS errors FROM nation
+UNION ALL SELECT 'supplier', count(*), count(s_nationkey) + count(s_name) + count(s_acctbal), 0 FROM supplier UNION ALL SELECT 'customer', count(*), count(c_nationkey) + count(c_name), 0 FROM customer""")
+def import_tables(s, d):
+    """What importing three tables as triples read and made."""
+    t = lambda name: src.load(s, d, name)
+    tables = {
+        "nation": (t("nation"), "n_nationkey", {"n_regionkey": ("in_region", "region")}, ["n_name"]),
+        "supplier": (t("supplier"), "s_suppkey", {"s_nationkey": ("in_nation", "nation")}, ["s_name", "s_acctbal"]),
+        "customer": (t("customer"), "c_custkey", {"c_nationkey": ("in_nation", "nation")}, ["c_name"]),
+    }
+    return jobs.import_tables(tables, work_dir(s))
