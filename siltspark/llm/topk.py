@@ -104,7 +104,8 @@ def _batch(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, lists: L
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     vectors = t.column("vec").combine_chunks()
-    return t.column("id").to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return t.column("id").to_numpy(), flat.reshape(t.num_rows, len(flat) // t.num_rows)
 
 
 def _block_topk(k: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -125,9 +126,9 @@ def topk_inner_product(queries: DataFrame, items: DataFrame, k: int) -> DataFram
     id, and an item with the query's own id is never returned.  Rows with a null id, a null vector or
     a null component take no part.  Repeated items are each an item; queries that repeat id and vector
     are one query, and of queries that share an id only each has its own ranks.  Only vectors of equal
-    length meet.  Empty inputs give no rows.  A task holds one block of queries and one of items.
+    length meet; empty ones do with a score of 0.  Empty inputs give no rows.  A task holds one block of queries and one of items.
     """
-    good = "id is not null and size(vec) > 0 and not exists(vec, x -> x is null)"
+    good = "id is not null and vec is not null and not exists(vec, x -> x is null)"
     queries = queries.select("id", "vec").where(good).distinct().withColumn("q", F.xxhash64("id", "vec"))
     items = items.select("id", "vec").where(good).withColumn("no", F.monotonically_increasing_id())
     n_q, n_i = max(1, -(-queries.count() // QUERIES)), max(1, -(-items.count() // ITEMS))
@@ -152,11 +153,11 @@ def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = """
 WITH items AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings WHERE embedding IS NOT NULL
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, i.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, i.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM items q JOIN items i ON q.vec_id <> i.vec_id WHERE q.vec_id % 20 = 0
+         CAST(coalesce(list_sum(list_transform(list_zip(q.v, i.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM items q JOIN items i ON q.vec_id <> i.vec_id AND len(q.v) = len(i.v) WHERE q.vec_id % 20 = 0
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
