@@ -3,19 +3,20 @@
 One dictionary is trained on toxic texts and one on ordinary texts, each behind a base that is trained
 on other ordinary texts, so that the two differ in their own part only.  A window is WINDOW words of
 running text, and its distance is its compressed length with the ordinary dictionary less that with
-the toxic one.  Most of a toxic text is ordinary too, so the toxic dictionary is trained in rounds: each
-half of the toxic texts is measured with a dictionary of the other half, and the windows of the largest
-distance, which hold what toxic texts have in common, are what the next dictionaries are trained on.
-
-A document's windows give a histogram of distances; a logistic model, fitted on labelled texts that the
-dictionaries were not trained on, calibrates how many windows beyond which distance make which score.
-Of FOLDS such splits the one of the least loss is kept.  Dictionaries and calibration come from a bounded
-sample of labelled rows (``per_label``).
+the toxic one.  Most of a toxic text is ordinary too, so in each of SPLITS splits in two either half of
+the toxic texts is measured with a dictionary of the other half, and the windows of the largest sums,
+which hold what toxic texts have in common, are what the toxic dictionary is trained on.
+
+A document's windows give a histogram of distances; a logistic model, fitted on the labelled texts of
+FOLDS folds, each measured by dictionaries of the other folds, calibrates how many windows beyond which
+distance make which score.  It is applied to the distances of dictionaries of all the sample's texts.
+Dictionaries and calibration come from a bounded sample of labelled rows (``per_label``, ``most_bytes``),
+all of whose windows are used; it is put in an order of its own, so that the order of rows is without effect.
 """
 
 from __future__ import annotations
 
-import random
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,12 @@ WINDOW = 4
 STEPS = np.arange(1, 10)
 FOLDS = 3
 BASE_BYTES = 60_000
-#: Bytes of the dictionaries' own parts, round by round, and the share of windows that go on to the next round.
-ROUNDS = ((6000, 0.03), (3000, 0.0))
-#: At most so many ordinary windows train a dictionary.
-ORDINARY_WINDOWS = 20_000
+#: Splits in two, by which common windows are found, the bytes of those splits' dictionaries and of the last ones.
+SPLITS = 3
+SPLIT_BYTES = 6000
+LAST_BYTES = 1500
+#: The share of toxic windows that train the toxic dictionary.
+SHARE = 0.03
 _LEVEL = 15
 _LEAST_PIECES = 400
 
@@ -74,23 +77,22 @@ class Distance:
 
 def train(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
     """The two dictionaries of lower-cased toxic and ordinary texts."""
-    shuffle = random.Random(11)
     base_pieces, own = ([w for t in ordinary[k::2] for w in windows(t)] for k in (0, 1))
-    for x in (base_pieces, own):
-        shuffle.shuffle(x)
-    base = trained(base_pieces[:ORDINARY_WINDOWS], BASE_BYTES, 64)
-    halves = [[w for t in toxic[k::2] for w in windows(t, 1)] for k in (0, 1)]
-    chosen = [list(h) for h in halves]
-    for size, share in ROUNDS:
-        plain = base + trained(own[:ORDINARY_WINDOWS], size, 10)
-        if not share:
-            break
-        new = []
-        for h, other in zip(halves, reversed(chosen)):
-            d = Distance(base + trained(other, size, 10), plain)(h)
-            new.append([h[i] for i in np.argsort(-d, kind="stable")[: max(1, int(len(h) * share))]] if h else [])
-        chosen = new
-    return Distance(base + trained(chosen[0] + chosen[1], size, 10), plain)
+    base = trained(base_pieces, BASE_BYTES, 64)
+    plain = base + trained(own, SPLIT_BYTES, 10)
+    pieces = [windows(t, 1) for t in toxic]
+    sums = [np.zeros(len(p), np.int64) for p in pieces]
+    for split in range(SPLITS):
+        side = [i >> split & 1 for i in range(len(pieces))]
+        for k in (0, 1):
+            other = [w for p, s in zip(pieces, side) if s != k for w in p]
+            distance = Distance(base + trained(other, SPLIT_BYTES, 10), plain)
+            for i, p in enumerate(pieces):
+                if side[i] == k:
+                    sums[i] += distance(p)
+    flat, total = [w for p in pieces for w in p], np.concatenate(sums)
+    common = [flat[i] for i in np.argsort(-total, kind="stable")[: max(1, int(len(flat) * SHARE))]]
+    return Distance(base + trained(common, LAST_BYTES, 10), base + trained(own, LAST_BYTES, 10))
 
 
 def features(distance: Distance, texts: list[bytes]) -> np.ndarray:
@@ -132,17 +134,15 @@ class Model:
         self.distance = None
         if len(toxic) < 4 or len(ordinary) < 4:
             return
-        best = np.inf
+        both = tuple(sorted(x, key=lambda t: hashlib.blake2b(t, digest_size=16).digest()) for x in (toxic, ordinary))
+        x, y = [], []
         for fold in range(FOLDS):
-            # a dictionary is only used with the calibration that was made for it, on texts it wasn't trained on
-            d = train(*([t for i, t in enumerate(x) if i % FOLDS != fold] for x in (toxic, ordinary)))
-            held = (toxic[fold::FOLDS], ordinary[fold::FOLDS])
-            x, y = np.vstack([features(d, t) for t in held]), np.repeat([1.0, 0.0], [len(t) for t in held])
-            weights, bias = fit_logistic(x, y)
-            p = 1 / (1 + np.exp(-np.clip(x @ weights + bias, -30, 30)))
-            loss = -float(np.mean(y * np.log(p + 1e-12) + (1 - y) * np.log(1 - p + 1e-12)))
-            if loss < best:
-                best, self.weights, self.bias, self.distance = loss, weights, bias, d
+            d = train(*([t for i, t in enumerate(texts) if i % FOLDS != fold] for texts in both))
+            for label, texts in zip((1.0, 0.0), both):
+                x.append(features(d, texts[fold::FOLDS]))
+                y.append(np.full(len(x[-1]), label))
+        self.weights, self.bias = fit_logistic(np.vstack(x), np.concatenate(y))
+        self.distance = train(*both)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.distance is None:
@@ -150,22 +150,42 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(features(self.distance, texts) @ self.weights + self.bias, -30, 30)))
 
 
-def fit(labelled: DataFrame, per_label: int = 1500) -> Model:
-    """The model of ``key, text, toxic`` rows; per_label rows of each label at most are read by it, copies once.
+#: The defaults of a sample's bounds: rows of a label, and bytes of their texts.
+PER_LABEL = 1500
+MOST_BYTES = 16 << 20
+
+
+def sample(rows: DataFrame, per_label: int, most_bytes: int) -> DataFrame:
+    """``key, toxic`` of the sample: of each label's rows ``key, toxic, bytes``, by hashed key, the first per_label within most_bytes in all.
 
-    Rows with a null text or a label other than 0 and 1 are not learned from.
+    A text of more than a sixteenth of most_bytes is never one of them.
+    """
+    order = W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key")
+    upto = F.sum("bytes").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = rows.where(F.col("bytes") <= most_bytes // 16).select("key", "toxic", "bytes").distinct()
+    rows = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).withColumn("upto", upto)
+    return rows.where(F.col("upto") <= most_bytes).select("key", "toxic")
+
+
+def fit(labelled: DataFrame, per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES) -> Model:
+    """The model of ``key, text, toxic`` rows; of each label per_label rows and most_bytes bytes at most are read by it, copies once.
+
+    Rows with a null text or a label other than 0 and 1 are not learned from; with fewer than four rows
+    of a label, as in an empty table, nothing is.
     """
     good = labelled.where("toxic in (0, 1) and text is not null")
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
-    picked = good.select("key", "toxic").distinct().withColumn("r", rank).where(F.col("r") <= per_label).select("key", "toxic")
+    picked = sample(good.select("key", "toxic", F.octet_length("text").alias("bytes")), per_label, most_bytes)
     rows = good.select("key", "text", "toxic").join(F.broadcast(picked), ["key", "toxic"]).dropDuplicates(["key", "toxic"]).collect()
-    rows = sorted((r.key, r.text, int(r.toxic)) for r in rows)
-    of = lambda label: [r[1].lower().encode() for r in rows if r[2] == label]
+    of = lambda label: [r.text.lower().encode() for r in rows if int(r.toxic) == label]
     return Model(of(1), of(0))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with ``score double``: the calibrated chance of label 1; a null text counts as empty, a column score of docs is replaced."""
+    """docs with ``score double``: the calibrated chance of label 1; a null text counts as empty, a column score of docs is replaced.
+
+    Every row is scored by itself, whole texts of any length, so repeated rows are scored alike and an
+    empty table gives an empty one.
+    """
     plain = docs.drop("score")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -176,17 +196,16 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return map_batches(plain, run, plain.withColumn("score", F.lit(0.0)).schema)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``key, text, toxic`` of the sample of labelled documents; none whose crc32(doc_id) mod 3 is 1.
 
-    The sample is chosen by keys alone; the texts of its rows, 2 * per_label keys at most, are then
-    picked in a scan, so that no other text is shuffled.  Repeated documents are given once.
+    The sample is chosen by keys and lengths alone; the texts of its rows, 2 * per_label keys at most,
+    are then picked in a scan, so that no other text is shuffled.  Repeated documents are given once.
     """
     labels = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").distinct()
     keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text").where((crc_mod("doc_id", 3) != 1) & F.col("text").isNotNull())
-    rank = F.row_number().over(W.partitionBy("toxic").orderBy(F.xxhash64("key"), "key"))
-    ids = keyed.select("doc_id", "key").join(labels, "doc_id").select("key", "toxic").distinct().withColumn("r", rank)
-    picked = ids.where(F.col("r") <= per_label).select("key", "toxic")
+    ids = keyed.select("doc_id", "key", F.octet_length("text").alias("bytes")).join(labels, "doc_id")
+    picked = sample(ids, per_label, most_bytes)
     return keyed.select("key", "text").join(F.broadcast(picked), "key").dropDuplicates(["key", "toxic"])
 
 
