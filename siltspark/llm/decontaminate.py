@@ -4,6 +4,10 @@ A window of a benchmark item is 13 consecutive words (a shorter item is one wind
 holds a window only if it holds every word of it, so the window's rarest word, by its count over all
 documents, is the necessary prefix of a containment join.  Document words meet these prefix words;
 position bounds and then an exact comparison of the whole window settle each candidate.
+
+Windows of a measured size are broadcast.  Beyond it both sides shuffle by the prefix word: document
+words that are no prefix word are dropped before if those fit a broadcast, and a word with a large share
+of all occurrences is dealt out by salts, its windows to each of them.
 """
 
 from __future__ import annotations
@@ -11,8 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltspark.llm.common import BROADCAST_ROWS, ascii_lower, fresh, table
+from siltspark.llm.common import BROADCAST_ROWS, ascii_lower, fresh, saved, table, work_dir
 
+#: Bytes of text up to which a side of at most BROADCAST_ROWS rows, or a set of words, is broadcast.
+BROADCAST_BYTES = 64 << 20
+#: A word with more than this part of all occurrences of prefix words is hot; so fewer than this many words are.
+HOT_PARTS = 10_000
+SALTS = 64
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -30,7 +39,7 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def prefix_index(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """windows with ``token``, their rarest word by occurrences in docs (ties: the smaller word), and its offset."""
+    """windows with ``token``, their rarest word by occurrences in docs (ties: the smaller word), its offset, and ``seen``, those occurrences."""
     vocabulary = windows.select(F.explode("window").alias("token")).distinct()
     tokens = docs.select(F.explode(words(F.col("text"))).alias("token"))
     if vocabulary.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
@@ -38,8 +47,57 @@ def prefix_index(windows: DataFrame, docs: DataFrame) -> DataFrame:
     else:
         counts = tokens.groupBy("token").count().join(vocabulary, "token")
     placed = windows.select("window", "items", F.posexplode("window").alias("offset", "token")).join(counts, "token", "left")
-    rarest = F.min_by(F.struct("token", "offset"), F.struct(F.coalesce("count", F.lit(0)), "token", "offset"))
-    return placed.groupBy("window").agg(rarest.alias("p"), F.first("items").alias("items")).select("p.token", "p.offset", "window", "items")
+    rarest = F.min_by(F.struct("token", "offset", "count"), F.struct(F.coalesce("count", F.lit(0)), "token", "offset"))
+    return placed.groupBy("window").agg(rarest.alias("p"), F.first("items").alias("items")).select("p.token", "p.offset", "window", "items", F.coalesce("p.count", F.lit(0)).alias("seen"))
+
+
+def _measure(df: DataFrame, text: Column) -> tuple[int, int]:
+    """Rows, and bytes of text in them."""
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("b")).first()
+    return r.n, r.b
+
+
+def _by_broadcast(tokens: DataFrame, index: DataFrame) -> DataFrame:
+    """A row a document with n, and a row a hit with its span and items: one pass over the documents."""
+    # an empty word, which no text has, stands for the document itself
+    itself = tokens.sparkSession.range(1).select(
+        F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items")
+    )
+    index = F.broadcast(index.drop("seen").unionByName(itself))
+    rows = tokens.select("doc_id", "text_key", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
+    start, is_doc = F.col("pos") - F.col("offset"), F.col("pos") == 0
+    occurs = is_doc | (
+        (start >= 1) & (start + F.size("window") - 1 <= F.size("w")) & (F.slice("w", F.greatest(start, F.lit(1)), F.size("window")) == F.col("window"))
+    )
+    hits = rows.join(index, (F.col("word") == F.col("token")) & occurs)
+    return hits.select(
+        "doc_id", "text_key", F.when(is_doc, F.size("w")).alias("n"),
+        F.when(~is_doc, F.struct(start.alias("s"), (start + F.size("window")).alias("e"))).alias("span"), F.when(~is_doc, F.col("items")).alias("items"),
+    )
+
+
+def _by_shuffle(tokens: DataFrame, index: DataFrame, size: int) -> DataFrame:
+    """As _by_broadcast, whatever the windows' number; a word takes along only the words that a window can reach."""
+    rows = tokens.select("doc_id", "text_key", "w", F.posexplode("w").alias("pos", "word")).withColumn("pos", F.col("pos") + 1)
+    prefixes = index.groupBy("token").agg(F.max("seen").alias("seen"))
+    total = prefixes.agg(F.sum("seen")).first()[0] or 0
+    if _measure(prefixes, F.col("token"))[1] <= BROADCAST_BYTES:
+        rows = rows.join(F.broadcast(prefixes.select(F.col("token").alias("word"))), "word", "left_semi")
+    hot = prefixes.where(F.col("seen") * HOT_PARTS > total).select("token", F.lit(SALTS).alias("salts"))  # fewer than HOT_PARTS rows
+    salts = F.coalesce("salts", F.lit(1))
+    low = F.greatest(F.col("pos") - size + 1, F.lit(1))
+    rows = rows.join(F.broadcast(hot.withColumnRenamed("token", "word")), "word", "left").select(
+        "doc_id", "text_key", "pos", "word", low.alias("low"), F.size("w").alias("n_words"), F.slice("w", low, 2 * size - 1).alias("near"),
+        F.pmod(F.xxhash64("doc_id", "text_key", "pos"), salts).cast("int").alias("salt"),
+    )
+    dealt = index.join(F.broadcast(hot), "token", "left").withColumn("part", F.explode(F.sequence(F.lit(0), salts - 1)))
+    start = F.col("pos") - F.col("offset")
+    fits = (start >= 1) & (start + F.size("window") - 1 <= F.col("n_words"))
+    same = F.slice("near", F.greatest(start - F.col("low") + 1, F.lit(1)), F.size("window")) == F.col("window")
+    hits = rows.join(dealt, (F.col("word") == F.col("token")) & (F.col("salt") == F.col("part")) & fits & same)
+    hits = hits.select("doc_id", "text_key", F.lit(None).cast("int").alias("n"), F.struct(start.alias("s"), (start + F.size("window")).alias("e")).alias("span"), "items")
+    none = tokens.select("doc_id", "text_key", F.size("w").alias("n"), F.lit(None).cast(hits.schema["span"].dataType).alias("span"), F.lit(None).cast("array<string>").alias("items"))
+    return hits.unionByName(none)
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFrame:
@@ -52,34 +110,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 13) -> DataFram
     """
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     windows = item_windows(items, size)
-    index = prefix_index(windows, keyed)
-    # An empty word, which no text has, stands for the document itself: one pass gives its row and its hits.
-    itself = docs.sparkSession.range(1).select(
-        F.lit("").alias("token"), F.lit(0).alias("offset"), F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items")
-    )
-    index = index.unionByName(itself)
+    index = saved(prefix_index(windows, keyed), work_dir(docs.sparkSession), "windows")
     tokens = keyed.select("doc_id", "text_key", words(F.col("text")).alias("w"))
-    tokens = tokens.select("doc_id", "text_key", "w", F.posexplode(F.concat(F.array(F.lit("")), F.col("w"))).alias("pos", "word"))
-    start = F.col("pos") - F.col("offset")
-    if index.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        index, context, first = F.broadcast(index), F.col("w"), start
-        rows = tokens
-    else:
-        # Past the bound both sides shuffle, and a word takes along only the words that a window can reach.
-        low = F.greatest(F.col("pos") - size + 1, F.lit(1))
-        rows = tokens.withColumn("near", F.when(F.col("pos") > 0, F.slice("w", low, 2 * size - 1)).otherwise(F.array().cast("array<string>")))
-        rows = rows.withColumn("low", low).withColumn("n", F.size("w")).drop("w").withColumnRenamed("near", "w")
-        context, first = F.col("w"), start - F.col("low") + 1
-    n_words = F.size("w") if "n" not in rows.columns else F.col("n")
-    is_doc = F.col("pos") == 0
-    occurs = is_doc | (
-        (start >= 1) & (start + F.size("window") - 1 <= n_words) & (F.slice(context, F.greatest(first, F.lit(1)), F.size("window")) == F.col("window"))
-    )
-    hits = rows.join(index, (F.col("word") == F.col("token")) & occurs)
-    hits = hits.select(
-        "doc_id", "text_key", F.when(is_doc, n_words).alias("n"),
-        F.when(~is_doc, F.struct(start.alias("s"), (start + F.size("window")).alias("e"))).alias("span"), F.when(~is_doc, F.col("items")).alias("items"),
-    )
+    n, n_bytes = _measure(index, F.concat(F.array_join("window", " "), F.array_join("items", " ")))
+    hits = _by_broadcast(tokens, index) if n <= BROADCAST_ROWS and n_bytes <= BROADCAST_BYTES else _by_shuffle(tokens, index, size)
     per_doc = hits.groupBy("doc_id", "text_key").agg(
         F.max("n").cast("long").alias("n_words"), F.count("n").alias("copies"),
         F.array_sort(F.collect_set("span")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("hit_items"),
