@@ -61,12 +61,12 @@ def test_topk(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERIES", 16)
     rng = np.random.default_rng(3)
     x = rng.integers(-3, 4, (600, 8))  # many ties
-    rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)] + [(20, [int(v) for v in x[20]]), (7, [3] * 8), (7, [3] * 8), (None, [1] * 8), (900, None), (901, [None] * 8), (902, [1]), (20, [1])]
+    rows = [(i, [int(v) for v in r]) for i, r in enumerate(x)] + [(20, [int(v) for v in x[20]]), (7, [3] * 8), (7, [3] * 8), (None, [1] * 8), (900, None), (901, [None] * 8), (902, [1]), (20, [1]), (40, []), (903, []), (904, [])]
     items = spark.createDataFrame(rows, "id long, vec array<long>").repartition(3)
     got = {}
     for r in topk.topk_inner_product(items.where("id % 20 = 0"), items, 7).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    everyone = [(i, v) for i, v in rows if i is not None and v and None not in v]
+    everyone = [(i, v) for i, v in rows if i is not None and v is not None and None not in v]
     for q in range(0, 600, 20):
         want = []
         for vec in {tuple(v) for i, v in everyone if i == q}:
@@ -135,6 +135,10 @@ def test_toxicity_held_out(spark, docs, none):
     model = toxicity.fit(spark.createDataFrame(rows[:400], "key long, text string, toxic int"))
     got, want = model.score([t.encode() for _, t, _ in rows[400:]]), np.array([y for _, _, y in rows[400:]])
     assert ((got >= 0.7) & (want == 1)).sum() >= 0.8 * want.sum() and ((got >= 0.7) & (want == 0)).sum() <= 0.03 * (want == 0).sum()
+    again = list(rows[:400])
+    rng.shuffle(again)
+    again = toxicity.Model(*([t.encode() for _, t, y in again if y == label] for label in (1, 0)))
+    assert (again.score([t.encode() for _, t, _ in rows[400:]]) == got).all()  # the order of rows is without effect
     scored = {(r.doc_id, r.text): r.score for r in toxicity.score(docs, model).collect()}
     assert len(toxicity.score(docs, model).collect()) == len(ROWS) and toxicity.score(none, model).count() == 0
     assert scored[(4, None)] == scored[(5, "")] == scored[(6, " \t\n")] < 0.7 and all(0 <= x <= 1 for x in scored.values())
@@ -184,6 +188,13 @@ def test_copies_do_not_fill_the_samples(spark, monkeypatch):
     assert len(got) == len({r.key for r in got}) <= 20
 
 
+def test_the_toxicity_sample_is_bounded_in_bytes(spark):
+    rows = [(i, i % 2, 100) for i in range(40)] + [(100 + i, 1, 5000) for i in range(20)]
+    picked = toxicity.sample(spark.createDataFrame(rows, "key long, toxic int, bytes int"), 1000, 1600).collect()
+    assert len(picked) == 32 and {r.key < 40 for r in picked} == {True}
+    assert len(toxicity.sample(spark.createDataFrame(rows, "key long, toxic int, bytes int"), 3, 1600).collect()) == 6
+
+
 def test_contamination(spark, docs, none):
     items = [(1, PASSAGE), (2, "w1 W2"), (3, None), (4, ""), (5, " ".join(BASE.split()[50:70]).upper()), (None, " ".join(BASE.split()[100:120]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -200,6 +211,18 @@ def test_contamination_past_the_broadcast_bound(spark, docs, monkeypatch):
     test_contamination.__wrapped__(spark, docs, docs.limit(0)) if hasattr(test_contamination, "__wrapped__") else test_contamination(spark, docs, docs.limit(0))
 
 
+@pytest.mark.parametrize(("rows", "hot_parts", "most_bytes"), [(0, 10_000, 1 << 20), (0, 0, 1 << 20), (0, 0, -1), (100_000, 10_000, -1)])
+def test_contamination_with_one_word_in_every_window(spark, monkeypatch, rows, hot_parts, most_bytes):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(decontaminate, "HOT_PARTS", hot_parts)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most_bytes)
+    docs = [(i, "rare the " + "of " * 12 + "the rare" if i % 3 else "the " * (i % 40)) for i in range(60)] + [(None, "the " * 20), (7, None), (8, "")]
+    items = [(1, "the " + "of " * 12), (2, "the " * 15), (3, "of the"), (4, "rare")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    got = [(r.doc_id, r.n_words, r.n_hit, sorted(r.hit_items), r.contaminated) for r in decontaminate.contamination(d, b).collect()]
+    assert sorted(got, key=str) == sorted(brute_contamination(docs, items), key=str)
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
