@@ -124,6 +124,14 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, version: str) -> DataF
     return both.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(version)))).where("_r = 1").drop("_r")
 
 
+def register(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
+    """updates with ``accepted``: whether their key is new to base and no earlier update has it; a null key never is."""
+    known = base.select(F.col(key).alias("_k")).distinct().withColumn("_known", F.lit(True))
+    first = F.row_number().over(W.partitionBy(key).orderBy(order)) == 1
+    marked = updates.withColumn("_first", first).join(known, F.col(key) == F.col("_k"), "left")
+    return marked.withColumn("accepted", F.col("_first") & F.col("_known").isNull() & F.col(key).isNotNull()).drop("_first", "_k", "_known")
+
+
 def remove(base: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return base.join(keys.select(key).distinct(), key, "left_anti")
 
@@ -148,15 +156,30 @@ def identity_type(identity: Column) -> Column:
     return out
 
 
-def compliance(manifests: DataFrame, least: float, identities: list[str], required: list[str], now: str | None = None) -> DataFrame:
-    """Violations of a policy and whether a manifest complies; the score is 1 or 0.  With now, ``expires_at`` counts too."""
-    m = trust_score(manifests)
+#: How severe a violation is.
+SEVERITIES = {"LOW_TRUST_SCORE": "high", "INVALID_IDENTITY_TYPE": "critical", "MISSING_CERTIFICATION": "high", "EXPIRED_MANIFEST": "critical"}
+
+
+def _violations(least: float, identities: list[str], required: list[str], now: str | None) -> Column:
     expired = F.col("expires_at") < F.lit(now).cast("timestamp") if now else F.lit(False)
-    found = F.array_compact(F.array(
+    return F.array_compact(F.array(
         F.when(F.col("score") < least, "LOW_TRUST_SCORE"), F.when(~F.col("identity_type").isin(*identities), "INVALID_IDENTITY_TYPE"),
         F.when(F.size(F.array_except(F.array(*map(F.lit, required)), "attestations")) > 0, "MISSING_CERTIFICATION"),
         F.when(expired, "EXPIRED_MANIFEST"),
     ))
+
+
+def violations(manifests: DataFrame, least: float, identities: list[str], required: list[str], now: str | None = None) -> DataFrame:
+    """``manifest_id, violation, severity``: a row for each violation of a policy."""
+    each = trust_score(manifests).select("manifest_id", F.explode(_violations(least, identities, required, now)).alias("violation"))
+    severity = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
+    return each.withColumn("severity", severity[F.col("violation")])
+
+
+def compliance(manifests: DataFrame, least: float, identities: list[str], required: list[str], now: str | None = None) -> DataFrame:
+    """Violations of a policy and whether a manifest complies; the score is 1 or 0.  With now, ``expires_at`` counts too."""
+    m = trust_score(manifests)
+    found = _violations(least, identities, required, now)
     return m.select("manifest_id", F.array_join(found, ",").alias("violations"), (F.size(found) == 0).alias("compliant"), F.when(F.size(found) == 0, 1.0).otherwise(0.0).alias("compliance_score"))
 
 

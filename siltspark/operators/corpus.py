@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,16 +55,29 @@ def clean_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(folded, "/"), tail)
 
 
+#: Characters of a query that are escaped.
+QUERY_ESCAPED = " \t\n\r\\<>\"|?*:"
+
+
+def escape_query(query: Column) -> Column:
+    for c in QUERY_ESCAPED:
+        query = F.replace(query, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return query
+
+
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host, no fragment or default port, clean path; null unless http or https."""
     scheme = F.lower(_part(url, 1))
     h = F.when(scheme == "http", F.regexp_replace(host(url), ":80$", "")).otherwise(F.regexp_replace(host(url), ":443$", ""))
-    query = F.when(_part(url, 4) == "?", "").otherwise(F.regexp_replace(_part(url, 4), " ", "%20"))
+    query = F.when(_part(url, 4) == "?", "").when(_part(url, 4) == "", "").otherwise(F.concat(F.lit("?"), escape_query(F.regexp_replace(_part(url, 4), r"^\?", ""))))
     return F.when(scheme.isin("http", "https"), F.concat(scheme, F.lit("://"), h, clean_path(_part(url, 3)), query))
 
 
-def page_key(url: Column) -> Column:
-    """Directory and leaf of the path; .html where the leaf has no dot, index.html for a directory, 6 hex digits of the query's SHA-256."""
+def page_key(url: Column, seed_host: Column | None = None) -> Column:
+    """Directory and leaf of the path; .html where the leaf has no dot, index.html for a directory or index page, else 6 hex digits of the query's SHA-256.
+
+    With seed_host, pages of other hosts begin with theirs.
+    """
     path = F.regexp_replace(clean_path(_part(url, 3)), "^/", "")
     query = F.regexp_replace(_part(url, 4), r"^\?", "")
     is_index = (path == "") | path.endswith("/")
@@ -70,7 +85,12 @@ def page_key(url: Column) -> Column:
     stem = F.regexp_replace(path, r"\.[^./]*$", "")
     ending = F.when(leaf.contains("."), F.regexp_extract(leaf, r"(\.[^.]*)$", 1)).otherwise(".html")
     mark = F.when(query != "", F.concat(F.lit("__q-"), F.substring(F.sha2(query, 256), 1, 6))).otherwise("")
-    return F.when(is_index, F.concat(path, F.lit("index.html"))).otherwise(F.concat(F.when(leaf.contains("."), stem).otherwise(path), mark, ending))
+    index = F.lower(leaf).isin("index.html", "index.htm")
+    plain = F.concat(F.when(leaf.contains("."), stem).otherwise(path), mark, ending)
+    key = F.when(is_index, F.concat(path, F.lit("index.html"))).when(index, F.concat(F.regexp_replace(path, r"[^/]*$", ""), F.lit("index.html"))).otherwise(plain)
+    if seed_host is None:
+        return key
+    return F.when(host(url) == F.lower(seed_host), key).otherwise(F.concat(host(url), F.lit("/"), key))
 
 
 def url_ending(url: Column) -> Column:
@@ -172,7 +192,15 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
     return u.join(best, "page_id", "left").select("page_id", F.coalesce("allow", F.lit(True)).alias("allowed"))
 
 
-def grep(docs: DataFrame, pattern: str) -> DataFrame:
+#: Names of folders and files that are not searched.
+UNSEARCHED = (".git", "node_modules", ".venv", "vendor", "__pycache__", "*.pyc", "*.class", "*.o", "*.so", "*.dll", "*.exe", "*.bin", "*.zip", "*.tar*", "*.gz")
+
+
+def grep(docs: DataFrame, pattern: str, path: str | None = None, excluded: tuple[str, ...] = UNSEARCHED) -> DataFrame:
+    """Lines that a pattern is found in, numbered from 1; with path, a column, not of files with an excluded name in their path."""
+    if path and excluded:
+        name = "^(" + "|".join(re.escape(g).replace(r"\*", ".*") for g in excluded) + ")$"
+        docs = docs.where(~F.coalesce(F.exists(F.split(path, "/"), lambda part: part.rlike(name)), F.lit(False)))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return lines.where(F.col("line").rlike(pattern)).select("doc_id", (F.col("pos") + 1).alias("line_no"), "line")
 
@@ -275,6 +303,12 @@ def mime_counter(urls: DataFrame) -> DataFrame:
     return urls.groupBy(mime_of(F.col("url")).alias("mime")).agg(F.count("*").alias("n"))
 
 
+def mime_string(counts: DataFrame) -> DataFrame:
+    """``counter``: ``mime=n`` of every type in order, joined by semicolons; types are few, however many URLs there are."""
+    pairs = F.sort_array(F.collect_list(F.struct("mime", "n")))
+    return counts.where("mime is not null").agg(F.array_join(F.transform(pairs, lambda x: F.concat(x["mime"], F.lit("="), x["n"].cast("string"))), ";").alias("counter"))
+
+
 def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Each key with where it is: old, new or both; one shuffle of keys."""
     sides = old.select(key, F.lit(1).alias("side")).union(new.select(key, F.lit(2)))

@@ -83,8 +83,23 @@ def within_budget(messages: DataFrame, most: int, trim: float = 0.3) -> DataFram
     return out.withColumn("revise", (F.col("tokens") > most * (1 - trim)) | (F.col("n") > 100)).drop("n")
 
 
-def merge_text(messages: DataFrame, most_tokens: int) -> DataFrame:
-    """Each session's parts in order as one text, new text cut at most_tokens * 4 characters."""
+def message_texts(messages: DataFrame, most: int = 8000, rerank: int = 500) -> DataFrame:
+    """``session_id, turn, text, rerank``: the beginnings of a message that are embedded and ranked anew."""
+    return messages.select("session_id", "turn", F.left("content", F.lit(most)).alias("text"), F.left("content", F.lit(rerank)).alias("rerank"))
+
+
+def merge_text(messages: DataFrame, most_tokens: int, title: str | None = None) -> DataFrame:
+    """Each session's parts in order as one text, new text cut at most_tokens * 4 characters.
+
+    Parts without text are left out; with title, a column, a part with one begins with ``## title``.  Parts beyond
+    the cut are dropped by a running length before a session is gathered.
+    """
+    part = F.col("content")
+    if title:
+        part = F.when(F.coalesce(F.col(title), F.lit("")) != "", F.concat(F.lit("## "), F.col(title), F.lit("\n"), part)).otherwise(part)
+    before = F.sum(F.length("content") + 2).over(W.partitionBy("session_id").orderBy("turn").rowsBetween(W.unboundedPreceding, -1))
+    messages = messages.where("content <> ''").select("session_id", "turn", part.alias("content")).withColumn("_at", F.coalesce(before, F.lit(0)))
+    messages = messages.where(F.col("_at") <= most_tokens * 4 + 2)
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "content"))), lambda x: x["content"]), "\n\n")
     return messages.groupBy("session_id").agg(parts.alias("t")).select("session_id", F.when(F.length("t") > most_tokens * 4, F.concat(F.substring("t", 1, most_tokens * 4), F.lit("..."))).otherwise(F.col("t")).alias("merged"))
 
@@ -183,7 +198,7 @@ def cooldown_ok(history: DataFrame, seconds: int) -> DataFrame:
 
 
 def chain(links: DataFrame) -> DataFrame:
-    """Records with the preceding record's signature, unbroken if it is the one they name."""
+    """Records with their signature and the preceding record's, null for a name's first."""
     w = W.partitionBy("name").orderBy("ts", "event_id")
     signed = links.withColumn("signature", F.sha2(F.concat_ws("|", "name", F.col("event_id").cast("string")), 256))
     return signed.select("event_id", "name", "signature", F.lag("signature").over(w).alias("previous"))
@@ -195,6 +210,11 @@ def health_rollup(checks: DataFrame) -> DataFrame:
     return checks.agg(worst.alias("w")).select(F.when(F.col("w") == 2, "unhealthy").when(F.col("w") == 1, "degraded").when(F.col("w") == 0, "healthy").otherwise("unknown").alias("status"))
 
 
+def with_responses(cases: DataFrame, responses: DataFrame) -> DataFrame:
+    """Every case with its response, null without one; of several responses to a case each is one."""
+    return cases.join(responses.select("case_id", "response"), "case_id", "left")
+
+
 def score_eval(cases: DataFrame, pattern: str, least: int) -> DataFrame:
     """Pattern, length and not-empty metrics of each response, and whether all pass."""
     r = F.coalesce(F.col("response"), F.lit(""))

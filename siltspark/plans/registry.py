@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltspark.operators import catalog as cat
 from siltspark.operators import corpus as web
-from siltspark.operators import graph, patterns, search
+from siltspark.operators import graph, patterns, reports, search
 from siltspark.operators import sessions as ses
 from siltspark.sources import tables as src
 
@@ -139,12 +139,12 @@ def session_stats(s, d):
 
 @query("SELECT conv_id AS session_id, count(*) AS n, max(turn) AS last_turn FROM conversations GROUP BY 1")
 def session_list(s, d):
-    return _messages(s, d).groupBy("session_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
+    return reports.session_list(_messages(s, d))
 
 
 @query(f"WITH {M} SELECT DISTINCT session_id FROM messages WHERE user_id = 4 ORDER BY session_id DESC LIMIT 50")
 def list_sessions(s, d):
-    return ses.scope(_messages(s, d), user=4).select("session_id").distinct().orderBy(F.desc("session_id")).limit(50)
+    return reports.list_sessions(_messages(s, d), 4)
 
 
 @query(f"WITH {M} SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn) - 1 AS INTEGER) AS turn_index, role, content FROM messages WHERE role <> 'system' AND trim(content) <> ''")
@@ -165,7 +165,7 @@ def within_budget(s, d):
     return ses.within_budget(_messages(s, d), 400)
 
 
-@query(f"""WITH {M}, t AS (SELECT session_id, string_agg(content, chr(10) || chr(10) ORDER BY turn) AS t FROM messages GROUP BY session_id)
+@query(f"""WITH {M}, t AS (SELECT session_id, string_agg(content, chr(10) || chr(10) ORDER BY turn) AS t FROM messages WHERE content <> '' GROUP BY session_id)
 SELECT session_id, CASE WHEN length(t) > 2000 THEN concat(substr(t, 1, 2000), '...') ELSE t END AS merged FROM t""")
 def merge_text(s, d):
     return ses.merge_text(_messages(s, d), 500)
@@ -187,9 +187,9 @@ def evict(s, d):
     return ses.evict(src.read_memories(s, d), 60, 20, NOW)
 
 
-@query(f"WITH {MEM} SELECT user_id, count(*) AS total, CAST(min(updated_at) AS VARCHAR) AS oldest, CAST(max(updated_at) AS VARCHAR) AS newest FROM memories GROUP BY user_id")
+@query(f"WITH {MEM} SELECT user_id, count(*) AS total, CAST(min(updated_at) AS VARCHAR) AS oldest, CAST(max(updated_at) AS VARCHAR) AS newest, 1000 AS capacity FROM memories GROUP BY user_id")
 def memory_health(s, d):
-    return src.read_memories(s, d).groupBy("user_id").agg(F.count("*").alias("total"), F.min("updated_at").cast("string").alias("oldest"), F.max("updated_at").cast("string").alias("newest"))
+    return reports.memory_health(src.read_memories(s, d), 1000)
 
 
 @query("""WITH i AS (SELECT DISTINCT item_id, substr(text, s, 30) AS x FROM (SELECT item_id, text, unnest(range(1, length(text) - 28)) AS s FROM benchmark WHERE length(text) >= 30)),
@@ -211,12 +211,12 @@ def call_metrics(s, d):
 
 @query(f"WITH {T} SELECT event_id FROM traces WHERE NOT (success AND error_count = 0 AND quality > 0.8)")
 def needs_analysis(s, d):
-    return _traces(s, d).where("not (success and error_count = 0 and quality > 0.8)").select("event_id")
+    return reports.needs_analysis(_traces(s, d)).select("event_id")
 
 
 @query("SELECT user_id, event_type AS name, count(*) AS n FROM events GROUP BY ALL")
 def tool_usage(s, d):
-    return _traces(s, d).groupBy("user_id", "name").agg(F.count("*").alias("n"))
+    return reports.tool_usage(_traces(s, d))
 
 
 @query("""WITH d AS (SELECT event_type AS name, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events)
@@ -227,8 +227,7 @@ def latency_stats(s, d):
 
 @query("""SELECT event_type AS name, count(DISTINCT user_id) AS registries, count(*) AS entries, round(avg(value), 4) AS latency, round(count_if(value > 90) / count(DISTINCT user_id), 4) AS error_rate FROM events GROUP BY 1""")
 def federation_stats(s, d):
-    n = F.countDistinct("user_id")
-    return _traces(s, d).groupBy("name").agg(n.alias("registries"), F.count("*").alias("entries"), F.round(F.avg("duration_ms"), 4).alias("latency"), F.round(F.count_if(F.col("duration_ms") > 90) / n, 4).alias("error_rate"))
+    return reports.federation_stats(_traces(s, d), 90)
 
 
 @query(f"""WITH {T} SELECT event_id, name, count(*) OVER (PARTITION BY name ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n,
@@ -278,16 +277,12 @@ def prune_versions(s, d):
 
 @query("SELECT c_custkey, coalesce(max(o_orderkey), 0) AS version FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def current_version(s, d):
-    top = src.load(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("v"))
-    return src.load(s, d, "customer").select("c_custkey").join(top, "c_custkey", "left").select("c_custkey", F.coalesce("v", F.lit(0)).alias("version"))
+    return reports.current_version(src.load(s, d, "customer"), src.load(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "o_orderkey")
 
 
 @query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 2")
 def version_at(s, d):
-    from pyspark.sql import Window as W
-
-    o = src.load(s, d, "orders").select("o_custkey", "o_orderkey")
-    return o.withColumn("r", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))).where("r = 2").drop("r")
+    return reports.version_at(src.load(s, d, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 2)
 
 
 @query("SELECT doc_id, md5(text) AS h FROM documents QUALIFY row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) = 1")
@@ -420,8 +415,7 @@ def extract_links(s, d):
 
 @query(f"WITH {_LINKS_SQL} SELECT regexp_extract(target, '^[a-z]+://([^/?#]*)', 1) AS host, count(*) AS n, count(DISTINCT page_id) AS pages FROM links GROUP BY 1")
 def link_hosts(s, d):
-    links = web.extract_links(_pages(s, d))
-    return links.groupBy(web.host(F.col("target")).alias("host")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
+    return reports.link_hosts(_pages(s, d))
 
 
 @query("SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title FROM pages")
@@ -520,8 +514,7 @@ def block_report(s, d):
     k = F.col("page_id") % 17
     html = F.when(k == 2, "").when(k == 3, "Access DENIED").when(k == 4, F.concat("html", F.lit("CAPTCHA"))).otherwise(F.col("html"))
     p = _pages(s, d).select("url", F.when(k == 0, 403).when(k == 1, 429).otherwise(200).alias("status"), html.alias("html"))
-    p = p.select("url", web.block_reason(F.col("status"), F.col("html")).alias("reason")).where("reason is not null")
-    return p.groupBy("reason").agg(F.count("*").alias("events"), F.countDistinct("url").alias("urls"))
+    return reports.block_report(p)
 
 
 @query("""WITH p(pattern, risk) AS (VALUES ('Rights Reserved', 'license'), ('password', 'secret'), ('AKIA', 'secret')) SELECT doc_id, pattern, risk FROM documents JOIN p ON contains(lower(text), lower(pattern))""")
