@@ -79,17 +79,19 @@ def train(toxic: list[bytes], ordinary: list[bytes]) -> Distance:
     """The two dictionaries of lower-cased toxic and ordinary texts."""
     base_pieces, own = ([w for t in ordinary[k::2] for w in windows(t)] for k in (0, 1))
     base = trained(base_pieces, BASE_BYTES, 64)
-    plain = base + trained(own, SPLIT_BYTES, 10)
+    lengths = lambda compress, windows: np.array([len(compress(w)) for w in windows], np.int64)
+    compressor = lambda part: Distance._compressor(base + trained(part, SPLIT_BYTES, 10)).compress
     pieces = [windows(t, 1) for t in toxic]
-    sums = [np.zeros(len(p), np.int64) for p in pieces]
+    plain = compressor(own)
+    sums = [SPLITS * lengths(plain, p) for p in pieces]  # of distances: ordinary lengths are the same in every split
     for split in range(SPLITS):
         side = [i >> split & 1 for i in range(len(pieces))]
         for k in (0, 1):
             other = [w for p, s in zip(pieces, side) if s != k for w in p]
-            distance = Distance(base + trained(other, SPLIT_BYTES, 10), plain)
+            likely = compressor(other)
             for i, p in enumerate(pieces):
                 if side[i] == k:
-                    sums[i] += distance(p)
+                    sums[i] -= lengths(likely, p)
     flat, total = [w for p in pieces for w in p], np.concatenate(sums)
     common = [flat[i] for i in np.argsort(-total, kind="stable")[: max(1, int(len(flat) * SHARE))]]
     return Distance(base + trained(common, LAST_BYTES, 10), base + trained(own, LAST_BYTES, 10))
