@@ -115,31 +115,6 @@ def evict(memories: DataFrame, most: int, ttl_days: int, now: str) -> DataFrame:
     return m.withColumn("r", r).where((F.col("n") <= 0.8 * most) | (F.col("r") <= 0.6 * most)).select("memory_id", "user_id", "importance")
 
 
-def char_windows(df: DataFrame, key: str, text: str, n: int, block: int = 4096) -> DataFrame:
-    """``key, x``: every n-character window of a text.
-
-    A text is cut in one pass into blocks that overlap by n - 1 characters, and a block into its windows in
-    another, so the work grows with the text's length and a row never holds more than a block's windows.
-    """
-    blocks = F.explode(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{block + n - 1}}})).{{1,{block}}}"), F.lit(1)))
-    # a window never begins inside a surrogate pair
-    windows = F.regexp_extract_all("b", F.lit(f"(?s)(?![\\x{{DC00}}-\\x{{DFFF}}])(?=(.{{{n}}}))"), F.lit(1))
-    return df.select(key, blocks.alias("b")).select(key, F.explode(windows).alias("x"))
-
-
-def contained_in(items: DataFrame, contexts: DataFrame, n: int = 30, least: float = 0.6) -> DataFrame:
-    """Pairs where at least that share of an item's distinct n-character windows is in a context.
-
-    An item window travels once, a context's only if an item has it.
-    """
-    item = char_windows(items, "item_id", "text", n).distinct()
-    total = item.groupBy("item_id").agg(F.count("*").alias("total"))
-    vocabulary = item.select("x").distinct()
-    ctx = char_windows(contexts, "doc_id", "text", n).join(F.broadcast(vocabulary) if vocabulary.limit(200_001).count() <= 200_000 else vocabulary, "x").distinct()
-    hits = item.join(ctx, "x").groupBy("item_id", "doc_id").agg(F.count("*").alias("hits"))
-    return hits.join(total, "item_id").where(F.col("hits") >= least * F.col("total")).select("item_id", "doc_id", F.round(F.col("hits") / F.col("total"), 4).alias("share"))
-
-
 def call_metrics(calls: DataFrame) -> DataFrame:
     """Per name: calls, successes, errors, durations and the last call's error, cleared by a success."""
     last = lambda c: F.max_by(c, F.struct("ts", "event_id"))

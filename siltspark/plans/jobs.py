@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltspark.functions.plugins import Embedder, embed, hashed_terms
-from siltspark.operators import assets, catalog, corpus, facts, graph, patterns, postings, search, sessions
+from siltspark.operators import assets, catalog, containment, corpus, facts, graph, patterns, postings, search, sessions
 from siltspark.operators.bundles import import_report
 from siltspark.sources.ranged import work_dir
 from siltspark.sources.tables import write_archive, write_snapshot
@@ -128,7 +128,7 @@ def curate_memory(messages: DataFrame, memories: DataFrame, most: int, ttl_days:
     new = facts.promote_facts(messages).join(times, ["session_id", "turn"])
     new = new.select(F.concat_ws(":", F.lit("fact"), F.col("session_id").cast("string"), F.col("turn").cast("string")).alias("memory_id"), "user_id", F.col("content").alias("memory"), "updated_at", "kind")
     have = memories.select(F.col("memory_id").cast("string").alias("memory_id"), "user_id", "memory", "updated_at")
-    told = sessions.contained_in(new.select(F.col("memory_id").alias("item_id"), F.col("memory").alias("text")), have.select(F.col("memory_id").alias("doc_id"), F.col("memory").alias("text")))
+    told = containment.contained_in(new.select(F.col("memory_id").alias("item_id"), F.col("memory").alias("text")), have.select(F.col("memory_id").alias("doc_id"), F.col("memory").alias("text")))
     fresh = new.join(told.select(F.col("item_id").alias("memory_id")).distinct(), "memory_id", "left_anti")
     every = catalog.upsert(have, fresh.select(*have.columns), "memory_id", "updated_at")
     return {"facts": fresh, "memories": every, "kept": sessions.evict(every, most, ttl_days, now)}

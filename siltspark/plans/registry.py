@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltspark.operators import catalog as cat
 from siltspark.operators import corpus as web
-from siltspark.operators import graph, patterns, reports, search
+from siltspark.operators import containment, graph, patterns, reports, search
 from siltspark.operators import sessions as ses
 from siltspark.sources import tables as src
 
@@ -197,7 +197,7 @@ t AS (SELECT item_id, count(*) AS total FROM i GROUP BY 1), c AS (SELECT DISTINC
 h AS (SELECT item_id, doc_id, count(*) AS hits FROM i JOIN c USING (x) GROUP BY ALL)
 SELECT item_id, doc_id, round(hits / total, 4) AS share FROM h JOIN t USING (item_id) WHERE hits >= 0.6 * total""")
 def contained_in(s, d):
-    return ses.contained_in(src.load(s, d, "benchmark"), _docs(s, d))
+    return containment.contained_in(src.load(s, d, "benchmark"), _docs(s, d))
 
 
 # calls, traces, versions
