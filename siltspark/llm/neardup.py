@@ -7,9 +7,11 @@
    All rows of such a region are candidates, as are a row and its next NEIGHBOURS, which share the longest
    common prefixes, in whatever region.  The outer rows of each sorted partition meet those of the next in
    a step of their own.  Candidates whose signatures agree well enough form loose groups.
-3. Inside a loose group all links are confirmed on full sets.  A group beyond BLOCK classes is cut
-   into blocks, and each pair of blocks is one task; a task returns edges that connect what its
-   links connect, never all its pairs.
+3. Inside a loose group all links are confirmed on full sets.  In a group beyond BLOCK classes every
+   class first meets PIVOTS of them; what the pivot of most links is linked with is one component and
+   need not meet itself.  The others are cut into blocks that meet each other and the blocks of that
+   component, each pair in one task, so a group of near copies sends rows in proportion to its size.
+   A task returns edges that connect what its links connect, never all its pairs.
 4. Components over the confirmed edges give each document's group.
 """
 
@@ -20,9 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltspark.llm.common import fresh, row_key, saved, slices, table, work_dir
+from siltspark.llm.common import fresh, row_key, saved, slices, small, table, work_dir
 from siltspark.llm.components import components, spanning
 from siltspark.llm.words import distinct_per_row, hash_words, mix64, shingles
 
@@ -31,6 +34,7 @@ TREES = 12
 NEIGHBOURS = 3
 REGION = 16
 BLOCK = 512
+PIVOTS = 8
 _SEEDS = np.random.default_rng(77).integers(1, 2**63, VALUES, dtype=np.uint64) | np.uint64(1)
 _ORDERS = np.array([np.random.default_rng(500 + t).permutation(VALUES) for t in range(TREES)])
 _EDGES = "u long, v long, tree int, key binary"
@@ -159,7 +163,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, "text", 1 << 21):
             values, offsets = distinct_per_row(*shingles(*hash_words(part.column(1)), 3))
             packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array(packed, pa.binary())], ["node", "grp", "size", "shingles"])
 
 
 def links(sets: list[np.ndarray], percent: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -210,6 +214,54 @@ def _confirmed(percent: int):
     return run
 
 
+def _stars(percent: int):
+    """``grp, pivot, node``: a block's links with its group's pivots, which are its rows of side 0."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("side", "ascending"), ("node", "ascending")])
+        node, pivots = t.column("node").to_numpy(), int((t.column("side").to_numpy() == 0).sum())
+        u, v = links([np.frombuffer(s, np.uint64) for s in t.column("shingles").to_pylist()], percent, pivots)
+        keep = (v >= pivots) & (node[u] != node[v])
+        return pa.table({"grp": np.full(int(keep.sum()), t.column("grp")[0].as_py(), np.int64), "pivot": node[u[keep]], "node": node[v[keep]]})
+
+    return run
+
+
+def star_links(sets: DataFrame, percent: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Links ``pivot, node`` with the pivots of groups beyond BLOCK; and ``node, settled, n_settled`` of those groups' rows.
+
+    Pivots go to every block of their group: PIVOTS rows for BLOCK.
+    """
+    big = sets.where(F.col("size") > BLOCK)
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rank = F.row_number().over(W.partitionBy("grp").orderBy(F.xxhash64("node"), "node"))
+    chosen = small(big.select("grp", "node").withColumn("r", rank).where(F.col("r") <= PIVOTS).select("node"))
+    pivots = big.join(chosen, "node").select("grp", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("side"), "node", "shingles")
+    members = big.select("grp", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(1).alias("side"), "node", "shingles")
+    stars = saved(members.union(pivots).groupBy("grp", "block").applyInArrow(_stars(percent), "grp long, pivot long, node long"), folder, "stars")
+    best = stars.groupBy("grp", "pivot").agg(F.count("*").alias("n")).groupBy("grp").agg(F.max_by("pivot", F.struct("n", "pivot")).alias("pivot"), (F.max("n") + 1).alias("n_settled"))
+    best = saved(best, folder, "pivots")
+    settled = stars.join(best.select("grp", "pivot"), ["grp", "pivot"]).select("node").union(best.select("pivot")).withColumn("settled", F.lit(True))
+    fate = big.select("node", "grp").join(settled, "node", "left").join(best.select("grp", "n_settled"), "grp", "left")
+    return stars.select("pivot", "node"), fate.select("node", "settled", "n_settled")
+
+
+def meetings(sets: DataFrame, fate: DataFrame) -> DataFrame:
+    """``grp, low, high, side, node, shingles``: the rows of every pair of blocks of a group that must meet.
+
+    Blocks of rows that aren't settled come first and meet all blocks; those of settled rows meet only the former.
+    """
+    placed = sets.join(fate, "node", "left").withColumns({"settled": F.coalesce("settled", F.lit(False)), "n_settled": F.coalesce("n_settled", F.lit(0))})
+    mine, theirs = F.ceil((F.col("size") - F.col("n_settled")) / BLOCK).cast("int"), F.ceil(F.col("n_settled") / BLOCK).cast("int")
+    placed = placed.withColumns({"open": mine, "shut": theirs})
+    spread = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1))).cast("int")
+    placed = placed.withColumn("block", F.when(F.col("settled"), F.col("open") + spread(F.col("shut"))).otherwise(spread(F.col("open"))))
+    last = F.col("open") + F.when(F.col("settled"), 0).otherwise(F.col("shut")) - 1
+    met = placed.withColumn("other", F.explode(F.when(F.col("open") > 0, F.sequence(F.lit(0), last))))
+    low, high = F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    return met.select("grp", low, high, (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "shingles")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row: ``doc_id, row_key, n_shingles, component_id, kept``.
 
@@ -234,16 +286,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     member = loose.join(size, "grp").join(classes.select("node", "row_key"), "node")
     text = docs.select(F.col("row_key").alias("k"), "text")
     sets = text.join(member.select("node", F.col("row_key").alias("k"), "grp", "size"), "k").dropDuplicates(["node"])
-    shingled = saved(sets.select("node", "text").mapInArrow(_sets, "node long, shingles binary"), folder, "sets")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = member.select("node", "grp", blocks.alias("blocks")).withColumn("block", block).join(shingled, "node")
-    # a block meets itself and every other block of its group; pairs of blocks are numbered low, high
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select(
-        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).cast("int").alias("side"), "node", "shingles"
-    )
-    edges = saved(met.groupBy("grp", "low", "high").applyInArrow(_confirmed(percent), "u long, v long"), folder, "confirmed")
+    sets = saved(sets.select("node", "text", "grp", "size").mapInArrow(_sets, "node long, grp long, size long, shingles binary"), folder, "sets")
+    stars, fate = star_links(sets, percent, folder)
+    met = meetings(sets, saved(fate, folder, "fate"))
+    edges = saved(met.groupBy("grp", "low", "high").applyInArrow(_confirmed(percent), "u long, v long"), folder, "confirmed").union(stars)
     label = components(edges, folder + "/linked")
     named = features.where("n_shingles > 0").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = saved(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "least")

@@ -320,6 +320,38 @@ def test_blocks_of_a_large_group_meet(monkeypatch):
     assert len(u) == 36 and len(neardup.links(sets, 85, 4)[0]) == 6 + 20
 
 
+def test_large_groups_meet_their_pivots_first(spark, tmp_path, monkeypatch):
+    """Groups of near copies, of several clusters, of chains and of strangers: the same components as all pairs, few rows sent."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 2)
+    rng = np.random.default_rng(5)
+    copies = [[*range(100), 1000 + i] for i in range(200)]
+    clusters = [[*range(2000 + 200 * (i % 3), 2100 + 200 * (i % 3)), 5000 + i] for i in range(90)]
+    chain = [list(range(7000 + 4 * i, 7100 + 4 * i)) for i in range(60)]
+    strangers = [[int(x) for x in rng.integers(10**6, 10**7, 30)] for _ in range(40)]
+    near = [[x if rng.random() > 0.07 else int(rng.integers(10**7, 10**8)) for x in range(9000, 9060)] for _ in range(60)]
+    groups = [copies, clusters, chain, strangers, near, copies[:1], clusters[:8]]
+    rows, want = [], {}
+    for g, members in enumerate(groups):
+        sets = [np.unique(np.array(m, np.uint64)) for m in members]
+        first = len(rows)
+        rows += [(first + i, g, len(sets), x.tobytes()) for i, x in enumerate(sets)]
+        u, v = neardup.links(sets, 85)
+        u, v = spanning(u, v)
+        want |= {first + i: first + i for i in range(len(sets))} | dict(zip((u + first).tolist(), (v + first).tolist()))
+    frame = spark.createDataFrame(rows, "node long, grp long, size long, shingles binary").repartition(3)
+    stars, fate = neardup.star_links(frame, 85, str(tmp_path))
+    met = neardup.meetings(frame, fate)
+    sent = dict(met.groupBy("grp").count().collect())
+    assert 0 not in sent and sent[5] == 1 and sent[6] == 8 and sent[3] == 40 * 5
+    edges = met.groupBy("grp", "low", "high").applyInArrow(neardup._confirmed(85), "u long, v long").union(stars)
+    got = dict(components(edges, str(tmp_path / "c")).collect())
+    assert {n: got.get(n, n) for n in want} == want
+    empty = frame.where("node < 0")
+    stars, fate = neardup.star_links(empty, 85, str(tmp_path / "e"))
+    assert stars.count() == 0 and neardup.meetings(empty, fate).count() == 0
+
+
 def forest_of(spark, sigs):
     rows = [(n, np.asarray(x, np.uint16).tobytes()) for n, x in sigs]
     return spark.createDataFrame(rows, "node long, sig binary").mapInArrow(neardup._trees, "tree int, key binary, node long")
