@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,25 +30,32 @@ def embed(df: DataFrame, text: str, fn: Embedder = hashed_terms, batch: int = 25
     """df with a vector for each text, by any function of a batch of texts.
 
     A batch for which the function fails, or gives another number of vectors, has null vectors: searches then go
-    by their lexical part.  A null text has a null vector.  Texts travel as Arrow batches to the tasks' workers.
+    by their lexical part.  A null text has a null vector.  Texts travel as Arrow batches to the tasks' workers, where
+    only a batch's texts and vectors are Python objects at once.
     """
 
-    def vectors(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in series:
-            out: list = [None] * len(s)
-            known = [i for i, t in enumerate(s) if t is not None]
+    def vectors(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.float32())
+        for texts in arrays:
+            known = np.flatnonzero(texts.is_valid().to_numpy(zero_copy_only=False))
+            done = 0
             for k in range(0, len(known), batch):
-                part = known[k : k + batch]
+                end = int(known[k + batch]) if k + batch < len(known) else len(texts)
+                some, done = texts.slice(done, end - done).to_pylist(), end
+                part = [t for t in some if t is not None]
                 try:
-                    got = list(fn([s.iloc[i] for i in part]))
+                    got = list(fn(part))
                 except Exception:  # noqa: BLE001  whatever a user's model raises
-                    continue
-                if len(got) == len(part):
-                    for i, v in zip(part, got):
-                        out[i] = [float(x) for x in v]
-            yield pd.Series(out, dtype=object)
-
-    return df.withColumn(name, F.pandas_udf(vectors, "array<float>")(F.col(text)))
+                    got = []
+                made = iter(got if len(got) == len(part) else [None] * len(part))
+                out = [None if t is None else next(made) for t in some]
+                yield pa.array([v if v is None else np.asarray(v, np.float32) for v in out], kind)
+            if done < len(texts):
+                yield pa.nulls(len(texts) - done, kind)
+            if not len(texts):
+                yield pa.array([], kind)
+
+    return df.withColumn(name, F.arrow_udf(vectors, "array<float>")(F.col(text)))
 
 
 def _contains(case: dict[str, Column]) -> Column:
