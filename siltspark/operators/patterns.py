@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Characters of patterns in one automaton, and regular expressions in one pass; more take another pass over the texts.
 AUTOMATON_CHARS, REGEXES = 4_000_000, 256
+#: Rows of which texts are Python strings at once.
+ROWS = 128
 HITS = "pattern_id long, start long, n long"
 
 
@@ -27,7 +29,7 @@ def _pass(df: DataFrame, keys: list[str], literals: list[tuple[int, str]], regex
             automaton.add_word(p, (len(p), ids))
         automaton.make_automaton()
         compiled = [(i, re.compile(p, re.I)) for i, p in regexes]
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             at, found = [], []
             for row, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 if text is None:
