@@ -46,16 +46,18 @@ def next_segment(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
-def write_segment(df: DataFrame, path: str, keys: tuple[str, ...], segment: int | None = None, parts: int | None = None) -> int:
+def write_segment(df: DataFrame, path: str, keys: tuple[str, ...], segment: int | None = None, parts: int | None = None, merge: Callable[[DataFrame], DataFrame] | None = None) -> int:
     """Writes df as one segment sorted by keys, whose number it gives; parts: how many ranges, the session's shuffle partitions by default.
 
-    df has no columns named segment or part.  Equal first keys that fill more than a range go on in the next one.
+    df has no columns named segment or part.  merge: an aggregation by the keys (and others) to the same columns, done in
+    the ranges without another shuffle.  Equal first keys that fill more than a range go on in the next one.
     """
     spark = df.sparkSession
     number = next_segment(spark, path) if segment is None else segment
     ranges = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.limit(0).write.mode("overwrite").parquet(f"{path}/schema")
-    placed = df.repartitionByRange(ranges, *keys).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *keys)
+    placed = df.repartitionByRange(ranges, *keys)
+    placed = (merge(placed) if merge else placed).withColumn("part", F.spark_partition_id()).sortWithinPartitions("part", *keys)
     placed.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{path}/rows/segment={number}")
     key = F.struct(*keys)
     rows = spark.read.schema(df.withColumn("part", F.lit(0)).schema).parquet(f"{path}/rows/segment={number}")
