@@ -139,6 +139,11 @@ def _sql(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {({'int64': 'long', 'int32': 'int', 'bool': 'boolean'}).get(str(f.type), f.type)}" for f in schema)
 
 
+def _of(t: pa.Table, kind: int) -> list[dict]:
+    """The rows of one kind; those of the other aren't made Python objects beside them."""
+    return t.filter(pc.equal(t.column("kind"), kind)).to_pylist()
+
+
 def _keys(asked: list[dict]) -> np.ndarray:
     return np.concatenate([np.cumsum(unpacked(x["keys"], np.uint64, x["n"]), dtype=np.uint64) for x in asked])
 
@@ -157,7 +162,7 @@ def _node(key_bits: int, coarse: int, fine: int):
     def run(t: pa.Table) -> pa.Table:
         out = []
         for kind, bits in ((0, 64), (1, key_bits)):
-            asked = [x for x in t.to_pylist() if x["kind"] == kind]
+            asked = _of(t, kind)
             if asked:
                 keys, total, _ = _added(_keys(asked), np.concatenate([unpacked(x["counts"], np.uint32, x["n"]) for x in asked]))
                 for r, some in _split(keys, _range(keys, bits, coarse * fine)):
@@ -171,7 +176,7 @@ def _totals(t: pa.Table) -> pa.Table:
     """The total counts of one fine range, for each node; types and tokens: of the range, on one row."""
     out = []
     for kind in (0, 1):
-        asked = [x for x in t.to_pylist() if x["kind"] == kind]
+        asked = _of(t, kind)
         if not asked:
             continue
         _, total, at = _added(_keys(asked), np.concatenate([unpacked(x["counts"], np.int64, x["n"]) for x in asked]))
@@ -186,13 +191,12 @@ def _totals(t: pa.Table) -> pa.Table:
 def _answers(asked: pa.Table, totals: pa.Table) -> pa.Table:
     """What a node of the grid answers its chunks."""
     out = []
-    totals = sorted(totals.select(["kind", "range", "n", "counts"]).to_pylist(), key=lambda x: (x["kind"], x["range"]))
     for kind in (0, 1):
-        mine = [x for x in asked.to_pylist() if x["kind"] == kind]
+        mine = _of(asked, kind)
         if mine:
             keys = [_keys([x]) for x in mine]
             distinct = np.unique(np.concatenate(keys))
-            total = np.concatenate([unpacked(x["counts"], np.int64, x["n"]) for x in totals if x["kind"] == kind])
+            total = np.concatenate([unpacked(x["counts"], np.int64, x["n"]) for x in sorted(_of(totals.select(["kind", "range", "n", "counts"]), kind), key=lambda x: x["range"])])
             for x, k in zip(mine, keys):
                 out.append((x["chunk"], x["fold"], x["coarse"], kind, x["n"], packed(total[np.searchsorted(distinct, k)])))
     return pa.Table.from_pylist([dict(zip(_ANSWER.names, x)) for x in out], _ANSWER)
@@ -215,8 +219,8 @@ def _with_counts(texts: pa.Table, answers: pa.Table, key_bits: int) -> Iterator[
     for blob in texts.column("rows").to_pylist():
         rows = pa.ipc.open_stream(blob).read_all()
         c = Chunk(rows.column("text"), key_bits)
-        got = sorted(answers.to_pylist(), key=lambda x: (x["kind"], x["range"]))
-        counts = [np.concatenate([np.zeros(0, np.int64)] + [unpacked(x["counts"], np.int64, x["n"]) for x in got if x["kind"] == kind]) for kind in (0, 1)]
+        got = lambda kind: sorted(_of(answers, kind), key=lambda x: x["range"])
+        counts = [np.concatenate([np.zeros(0, np.int64)] + [unpacked(x["counts"], np.int64, x["n"]) for x in got(kind)]) for kind in (0, 1)]
         if (len(counts[0]), len(counts[1])) != (len(c.words), len(c.pairs)):
             raise ValueError("a chunk of documents was cut in another way than before")
         yield rows, c, counts
